@@ -1,6 +1,6 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies. DataFrame functions only.
 
-Texts are read as lower-case runs of ASCII letters and digits. A template of ``n`` five-word shingles looks at windows of
+Texts are read as the runs of ASCII letters and digits of their lower case. A template of ``n`` five-word shingles looks at windows of
 ``ceil(1.5 n)`` shingles, one every ``ceil(n / 2)``, so that one window holds any occurrence whole; templates of the same
 ``n`` share windows. With containment 0.8 or more in such a window the Jaccard similarity is at least
 ``0.8 / (1.5 + 1 - 0.8) = 0.47`` (less for rounding: 0.4), and ``BANDS`` = 32 bands of one value collide with
@@ -49,7 +49,7 @@ TEMPLATES = {
 
 
 def normal_words(text: str) -> list[str]:
-    return re.sub(r"[^A-Za-z0-9]+", " ", text).lower().split()
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
 
 
 def shingles(text: str) -> list[str]:
@@ -64,8 +64,7 @@ def window_of(n: int) -> tuple[int, int]:
 
 
 def _words(text: Column) -> Column:
-    plain = F.btrim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def _hash(words: Column, i: Column) -> Column:

@@ -15,7 +15,7 @@ def license_sql() -> str:
         rows += [f"('{name}', {len(own)}, {width}, {step}, '{s}')" for s in own]
     return f"""
 WITH template(license, n, width, step, shingle) AS (VALUES {", ".join(rows)}),
-doc AS (SELECT DISTINCT doc_id, text, list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+doc AS (SELECT DISTINCT doc_id, text, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
 place AS (SELECT doc_id, text, w, unnest(generate_series(1, len(w) - 4)) AS i FROM doc),
 gram AS (SELECT doc_id, text, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS shingle FROM place),
 hit AS (SELECT doc_id, text, license, n, width, step, p, gram.shingle FROM gram JOIN template USING (shingle)),
