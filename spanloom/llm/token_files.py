@@ -36,19 +36,17 @@ class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
     The vocabulary's pre-tokenizer drops white space and no token or normalisation reaches across it, so the ids of a
-    text are those of its words, one after the other. Up to ``keep`` words are remembered; then it starts anew.
+    text are those of its words, one after the other. The first ``keep`` distinct words are remembered for as long as
+    the worker lives, frequent ones among them; later ones are encoded batch by batch.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.keep = keep
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.sizes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, f"<u{self.width}")
@@ -58,35 +56,46 @@ class WordEncoder:
         offsets, words = split_words(texts)
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > self.keep:
-            self._clear()
-        new = [w for w in distinct if w not in self.known]
+        known = self.known
+        new = [w for w in distinct if w not in known]
         sizes, flat = [self.sizes], [self.flat]
         for low in range(0, len(new), 10_000):
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[low : low + 10_000], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             flat.append(np.fromiter((x for e in ids for x in e), f"<u{self.width}", int(sizes[-1].sum())))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        if new:
-            self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
-        starts = np.cumsum(self.sizes) - self.sizes
-        place = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        long = self.sizes[place]
+        own_sizes, own_flat = (np.concatenate(sizes), np.concatenate(flat)) if new else (self.sizes, self.flat)
+        fresh = dict(zip(new, range(len(self.sizes), len(own_sizes)), strict=True))
+        starts = np.cumsum(own_sizes) - own_sizes
+        place = np.fromiter((known[w] if w in known else fresh[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        if new and len(known) < self.keep:
+            known.update(fresh)
+            self.sizes, self.flat = own_sizes, own_flat
+        long = own_sizes[place]
         ends = np.cumsum(long)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(starts[place] - (ends - long), long) + np.arange(total)]
+        ids = own_flat[np.repeat(starts[place] - (ends - long), long) + np.arange(total)]
         return np.concatenate([[0], ends])[offsets], ids
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a tokenizer file, with the words that it knows by now."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, name, doc_ids, lengths, n = WordEncoder(tokenizer), f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}", [], [], 0
+        encode, name, doc_ids, lengths, n = encoder(tokenizer), f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}", [], [], 0
         out = None
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, 1500):
+                part = batch.slice(low, 1500)
                 out = out or writer(f"{folder}/{name}.bin")
                 offsets, ids = encode(part.column(1))
                 ids = np.insert(ids, offsets[1:], end_id)
