@@ -4,8 +4,8 @@ Documents with the same set of five-word shingles form one class, represented by
 several runs sends a class down the paths named by its sampled shingles: shingle ``s`` of a set of ``n`` is sampled
 if a hash of the run, the path so far and ``s`` is below ``1 / (threshold * n)``, so that similar sets expect to
 share at least one path. Buckets of up to ``bucket`` classes are compared by brute force; larger ones are split again
-on newly sampled shared shingles, and those still larger at the last depth are compared in blocks, so no bucket is
-capped. Every link is verified on the whole shingle sets.
+on newly sampled shared shingles, and those still larger at the last depth are compared in blocks of ``BLOCK``, so no
+bucket is capped. Every link is verified on the whole shingle sets.
 
 Recall: sets at the threshold expect at least one shared sample, so a run finds such a pair with probability at
 least ``1 - 1/e`` at the first depth; ``runs_for`` repeats runs until the target recall.
@@ -30,7 +30,7 @@ from spanloom.llm.common import drop_stored, join_bounded, stored
 from spanloom.llm.components import connected_components
 from spanloom.llm.kernels import mix, shingle_sets
 
-THRESHOLD, TARGET_RECALL, BUCKET, DEPTH = 0.8, 0.9999, 256, 3
+THRESHOLD, TARGET_RECALL, BUCKET, DEPTH, BLOCK = 0.8, 0.9999, 256, 3, 1024
 
 
 def runs_for(target_recall: float) -> int:
@@ -244,7 +244,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
     sets = sets.mapInArrow(_with_sets, "rep long, leaves array<long>, shingles array<long>")
     sizes = pairs.where(F.col("c") > bucket).select("leaf", "c").distinct()
     placed = sets.select("rep", "leaves", "shingles", F.explode("leaves").alias("leaf")).join(F.broadcast(sizes) if sizes.count() <= 50_000 else sizes, "leaf", "left")
-    m = F.ceil(F.coalesce(F.col("c"), F.lit(1)) / bucket).cast("long")
+    m = F.ceil(F.coalesce(F.col("c"), F.lit(1)) / max(bucket, BLOCK)).cast("long")
     placed = placed.withColumn("m", m).withColumn("block", F.pmod(F.xxhash64("rep"), "m"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     placed = placed.select("leaf", F.least("o", "block").alias("i"), F.greatest("o", "block").alias("j"), "block", "rep", "leaves", "shingles")
