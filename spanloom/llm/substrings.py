@@ -22,16 +22,14 @@ its row; other columns are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import drop_stored, join_bounded, stored
+from spanloom.llm.common import SPACE, drop_stored, join_bounded, stored, text_of
 from spanloom.llm.kernels import gram_hashes, split_words, word_hashes
 
 WINDOW, PHRASE = 50, 25
@@ -62,13 +60,6 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int = 500):
             yield part, offsets, flat
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, offsets, flat in _pieces(batches):
-        words = word_hashes(flat)
-        seals = np.array([np.frombuffer(xxhash.xxh3_128_digest(words[a:b].tobytes()), np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(np.diff(offsets)), pa.array(seals[:, 0]), pa.array(seals[:, 1])], names=["id", "h", "n", "s1", "s2"])
-
-
 def _phrases(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, offsets, flat in _pieces(batches):
@@ -202,27 +193,15 @@ def _stream(window: int):
     return run
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, n_removed, kept, whole): the digest of the kept words."""
-    for part, offsets, flat in _pieces(batches):
-        removed, kept, whole = part.column("n_removed").to_pylist(), part.column("kept").to_pylist(), part.column("all_gone").to_pylist()
-        texts, counts, sums = [], [], []
-        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            text = "" if whole[i] else kept[i] if kept[i] is not None else " ".join(flat.slice(a, b - a).to_pylist())
-            counts.append(int(b - a) if whole[i] else removed[i] or 0)
-            texts.append(text)
-            sums.append(hashlib.sha256(text.encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), pa.array(counts, pa.int64()), pa.array(sums), pa.array(texts, pa.large_string()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_removed, kept_sha256, kept_text) for each row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    named = stored(rows.where("id is not null").mapInArrow(_facts, "id long, h long, n long, s1 long, s2 long").where(F.col("n") >= window), "facts")
-    first = named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
+    words = F.array_remove(F.split(text_of(), SPACE), "")
+    facts = rows.select("id", "h", words.alias("w")).select("id", "h", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("seal"))
+    named = stored(facts, "facts").where(F.col("id").isNotNull() & (F.col("n") >= window))
+    first = named.groupBy("seal").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
     # Documents that are not the first of their class lose all their words.
-    copies = stored(named.join(first, ["s1", "s2"]).where("id != rep").select("id", "h").distinct(), "copies")
-    drop_stored(named)
+    copies = stored(named.join(first, "seal").where("id != rep").select("id", "h").distinct(), "copies")
     singles = join_bounded(rows.where("id is not null"), copies, ["id", "h"], "left_anti", copies.count(), 200_000)
 
     keys = stored(singles.mapInArrow(_phrases(window, phrase), "key long, id long"), "phrases")
@@ -240,9 +219,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     # Shards of about SHARD_WORDS words; documents and the patterns that may occur in them meet there.
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("id"), F.lit(max(1, int(chars / 6 / SHARD_WORDS)))).cast("int").alias("shard")
-    routes = texts.select(shard, F.explode("keys").alias("key")).distinct()
+    routes = texts.select(shard, F.explode("keys").alias("key"), "id").groupBy("shard", "key").agg(F.max("id").alias("top"))
     none = F.lit("")
-    dealt = routes.join(patterns, "key").select("shard", F.lit(0).alias("kind"), F.col("owner").alias("id"), F.lit(0).cast("long").alias("h"), "left", "phrase", "right")
+    dealt = routes.join(patterns, "key").where("owner < top").select("shard", F.lit(0).alias("kind"), F.col("owner").alias("id"), F.lit(0).cast("long").alias("h"), "left", "phrase", "right")
     dealt = dealt.unionByName(texts.select(shard, F.lit(1).alias("kind"), "id", "h", none.alias("left"), F.col("text").alias("phrase"), none.alias("right")))
     cut = stored(dealt.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_stream(window), "id long, h long, kept string, n_removed long"), "cut")
     drop_stored(patterns)
@@ -250,6 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 
     nothing = [F.lit(None).cast("string").alias("kept"), F.lit(None).cast("long").alias("n_removed"), F.lit(True).alias("all_gone")]
     marks = cut.select("id", "h", "kept", "n_removed", F.lit(False).alias("all_gone")).unionByName(copies.select("id", "h", *nothing))
-    out = rows.join(marks, ["id", "h"], "left").select("id", "text", "n_removed", "kept", F.coalesce("all_gone", F.lit(False)).alias("all_gone"))
-    out = out.mapInArrow(_kept, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+    out = rows.join(marks, ["id", "h"], "left").select("id", "n_removed", "kept", F.coalesce("all_gone", F.lit(False)).alias("gone"), words.alias("w"))
+    n = F.size("w").cast("long")
+    out = out.select("id", n.alias("n_words"), F.when(F.col("gone"), n).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"), F.when(F.col("gone"), "").otherwise(F.coalesce("kept", F.array_join("w", " "))).alias("kept_text"))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text")
