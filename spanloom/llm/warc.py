@@ -38,19 +38,18 @@ from spanloom.llm.files import make_folder, opened, writer
 
 FAN_IN, SPLIT_SAMPLE, RUN_KEYS = 64, 10_000, 32
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
-INDEX = "place long, nth long, url_key string, timestamp string, page_id long, archive string, offset long, length long"
+_SAFE = "!$&'()*+,/:;=?@[]~%._-#|"
 
 
 def url_key(url: str) -> str:
-    """Host labels from the right, then path and query in lower case: captures of a site sort together."""
-    parts = urlsplit(url.strip()) if "://" in url else urlsplit("//" + url.strip())
+    """Host labels from the right, then path and query in lower case: captures of a site sort together. Malformed URLs as they are."""
     try:
+        parts = urlsplit(url.strip() if "://" in url else "//" + url.strip())
         host, port = parts.hostname or "", parts.port
     except ValueError:
-        host, port = parts.netloc.lower(), None
-    labels = host.removeprefix("www.").split(".")
-    key = ",".join(reversed(labels)) + (f":{port}" if port and port not in (80, 443) else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return quote(key.lower(), safe="!$&'()*+,/:;=?@[]~%._-#|")
+        return quote(url.strip().lower(), safe=_SAFE) or ")/"
+    key = ",".join(reversed(host.removeprefix("www.").split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return quote(key.lower(), safe=_SAFE)
 
 
 def payload_digest(payload: bytes) -> str:

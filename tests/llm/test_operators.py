@@ -1,0 +1,278 @@
+"""Each operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.llm import contamination, jaccard_join, licenses, mixture, pii, quality, queries, substrings, token_files, toxicity, warc
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _texts():
+    rng = random.Random(5)
+    vocab = [f"w{i}é" if i % 7 == 0 else f"w{i}" for i in range(400)]
+    long = " ".join(rng.choice(vocab) for _ in range(6000))
+    base = [rng.choice(vocab) for _ in range(120)]
+    near = base[:60] + ["changed"] + base[61:]
+    passage = " ".join(rng.choice(vocab) for _ in range(55))
+    item = "the quick brown fox jumps over the lazy dog near the old river bank"
+    rows = [
+        (1, " ".join(base), "en", "a"), (2, " ".join(base), "en", "a"), (3, "\t" + "  ".join(near) + "\n", "en", None), (4, None, "en", "a"), (5, "", None, "b"), (6, " \n\t ", "de", "b"),
+        (7, f"start {passage} end here", "en", "b"), (8, f"other words {passage} and more\nlines\nlines", "fr", "b"), (9, long, "en", "c"), (10, long + " tail", "en", "c"), (11, "one two", "en", "c"), (12, "one two", "en", "c"),
+        (13, f"we saw {item} today", "en", "d"), (14, "a@b.co, +49 (0)89 1234-5678 or 4111 1111 1111 1111 at 1.2.3.4 iban GB82 WEST 1234 5698 7654 32 \U0001f600 x@y.zz", "en", "d"),
+        (15, "Licensed under the Apache License, Version 2.0. " + "idiot scum " * 3, "en", "d"), (16, "### %%% " * 80, "en", "d"), (16, "### %%% " * 80, "en", "d"), (None, "no id here", "en", "d"),
+        (17, "<|endoftext|> Don't stop now ÀÉ", "en", "e"),
+    ]
+    rows += [(100 + i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(50, 90))), "en", "abc"[i % 3]) for i in range(60)]
+    return rows, item
+
+
+ROWS, ITEM = _texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    # Extra columns whose names operators use inside.
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
+    return df.withColumns({c: F.lit("x") for c in ("id", "rep", "n", "key", "keys", "h", "g", "w", "kept", "class_id", "size", "p", "block")})
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+def _words(t):
+    return WORDS.findall(t or "")
+
+
+def _set(t, k=5):
+    w = _words(t)
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+
+
+def test_jaccard_join(docs, none):
+    got = jaccard_join.jaccard_join(docs).collect()
+    assert len(got) == len(ROWS) and jaccard_join.jaccard_join(none).count() == 0
+    sets = {i: _set(t) for i, t, _, _ in ROWS if i is not None}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i] or i, i)
+    reps = {v: sets[v] for v in first.values()}
+    link = lambda a, b: a and b and 10 * len(a & b) >= 8 * len(a | b)
+    for r in got:
+        if r.doc_id is not None:
+            rep = first[sets[r.doc_id] or r.doc_id]
+            assert (r.rep_id, r.n_links) == (rep, sum(1 for o, s in reps.items() if o != rep and link(s, sets[r.doc_id]))), r
+    near = {r.doc_id: r.class_id for r in got}
+    assert near[1] == near[2] == near[3] == 1 and near[9] == near[10] == 9 and near[4] == 4 and near[5] == 5
+
+
+def test_jaccard_join_dense_group(spark):
+    """Hundreds of near copies pass the bucket limit: they are split, compared in blocks, and no link is lost."""
+    base = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(300)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), bucket=32).collect()
+    assert {r.n_links for r in got} == {299} and {r.class_id for r in got} == {0}
+
+
+def test_contaminated(spark, docs, none):
+    items = spark.createDataFrame([(1, ITEM), (2, None), (3, "one two"), (3, "one two"), (4, "not there at all in these texts")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_shared, r.n_shingles) for r in contamination.contaminated(docs, items).collect()}
+    want = {}
+    for i, t, _, _ in ROWS:
+        for j, s in ((1, ITEM), (3, "one two"), (4, "not there at all in these texts")):
+            q, x = _set(s), len(_set(s) & _set(t))
+            if x * 10 >= 8 * len(q):
+                want[i, j] = (x, len(q))
+    assert got == want and (13, 1) in got
+    assert contamination.contaminated(none, items).count() == 0 and contamination.contaminated(docs, items.where("false")).count() == 0
+
+
+def test_remove_repeats(docs, none):
+    got = collections.defaultdict(list)
+    for r in substrings.remove_repeats(docs).collect():
+        got[r.doc_id].append(r)
+    first = {}
+    for i, t, _, _ in sorted((r for r in ROWS if r[0] is not None), key=lambda r: r[0]):
+        w = _words(t)
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    for i, t, _, _ in ROWS:
+        w = _words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if i is not None and first[tuple(w[k : k + 50])] < i:
+                gone[k : k + 50] = [True] * 50
+        kept = hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()
+        assert all((r.n_words, r.n_removed, r.kept_sha256) == (len(w), sum(gone), kept) for r in got[i]), i
+    assert sum(map(len, got.values())) == len(ROWS) and got[8][0].n_removed == 55 and substrings.remove_repeats(none).count() == 0
+
+
+def test_token_files(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok, start, want = Tokenizer.from_file(path), 0, []
+    for i, t, _, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    folder, manifest = token_files.write_tokens(docs, path)
+    assert sorted(map(tuple, token_files.read_tokens(spark, folder).collect()), key=str) == sorted(want, key=str)
+    assert {r.width for r in manifest.collect()} == {2}
+    folder, _ = token_files.write_tokens(none, path)
+    assert token_files.read_tokens(spark, folder).count() == 0
+
+
+def test_mixture(docs, none):
+    got = mixture.mix_sources(docs).collect()
+    again = mixture.mix_sources(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(ROWS)
+    sizes = collections.Counter()
+    for _, t, _, s in ROWS:
+        sizes[s] += len(_words(t))
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: 1 + k % 3 for k, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if 3 * sizes[s] < weight[s] * level}
+        if not full:
+            target |= {s: weight[s] * level for s in free}
+            break
+        target |= {s: 3.0 * sizes[s] for s in full}
+        left -= sum(3.0 * sizes[s] for s in full)
+        free -= full
+    assert sorted({(r.source_size, round(r.target, 6)) for r in got}) == sorted({(sizes[s], round(target[s], 6)) for s in order})
+    assert all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in got)
+    assert mixture.mixed_rows(docs).count() == sum(r.copies for r in got) and mixture.mix_sources(none).count() == 0
+
+
+def test_cube_balances():
+    rng = np.random.default_rng(1)
+    sizes, p = rng.integers(1, 2000, 4000).astype(float), np.full(4000, 0.37)
+    out = mixture.fly(sizes, p, np.random.default_rng(2), False)
+    assert ((out > 0) & (out < 1)).sum() <= 2
+    assert abs((out * sizes).sum() - (p * sizes).sum()) < 1e-3 and abs(out.sum() - p.sum()) < 1e-6
+    landed = mixture.land(sizes, p, np.random.default_rng(2))
+    assert set(np.unique(landed)) <= {0.0, 1.0} and abs((landed * sizes).sum() / (p * sizes).sum() - 1) < 0.001
+
+
+def test_warc(spark):
+    html = ["<p>a</p>", None, "", "<p>a</p>", "<p>ü</p>", "x" * 300_000, "<p>a</p>"]
+    urls = ["http://www.b.org/x", None, "b.org/x", "https://a.com:81/?Q=1", "http://a.com/ü y", "http://[bad", "http://www.b.org/x"]
+    rows = [(k + 1, u, h) for k, (u, h) in enumerate(zip(urls, html, strict=True))] + [(None, "http://z", "<p>a</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    got = warc.archive_round_trip(pages).collect()
+    first = {}
+    for i, _, h in rows[:-1]:
+        first.setdefault(h or "", i)
+    for r in got:
+        h = dict((i, h) for i, _, h in rows)[r.page_id] or ""
+        f = r.page_id if r.page_id is None else first[h]
+        assert (r.payload_bytes, r.payload_digest) == (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode())
+        assert (r.record_type, r.refers_to) == (("response", None) if f == r.page_id else ("revisit", f))
+    order = sorted(got, key=lambda r: r.place)
+    assert [r.place for r in order] == list(range(len(rows))) and [r.url_key for r in order] == sorted(r.url_key for r in order)
+    assert warc.archive_round_trip(pages.where("false")).count() == 0
+
+
+def test_merge_in_passes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h{i % 5}.org/{i % 3}", str(i)) for i in range(90)], "page_id long, url string, html string").repartition(9)
+    runs = warc.write_archives(pages, str(tmp_path))
+    got = warc.merge_runs(spark, str(tmp_path), runs, fan_in=2, ranges=4).orderBy("place").collect()
+    keys = [(r.url_key, r.timestamp, r.page_id) for r in got]
+    assert len(keys) == 90 and keys == sorted(keys) and [r.place for r in got] == list(range(90))
+
+
+def test_loser_tree():
+    rng = random.Random(3)
+    for k in range(12):
+        runs = [sorted(b"%d" % rng.randrange(50) for _ in range(rng.randrange(8))) for _ in range(k)]
+        assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(sum(runs, []))
+
+
+def test_toxicity(spark, docs, none):
+    rng = random.Random(2)
+    words = ["the", "river", "stone", "lamp", "green", "often", "walks"]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        w = [rng.choice(words) for _ in range(60)] + ([rng.choice(["zorgling", "zorgen", "zorgisch"]) for _ in range(3)] if bad else [])
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(frame, marks).collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got) and len(held) > 100
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in held) / len(held) > 0.97 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.toxicity(docs, marks).count() == len(ROWS) and toxicity.toxicity(none, marks).count() == 0
+    assert toxicity.toxicity(docs, marks.where("false")).count() == len(ROWS)
+
+
+def test_quality(docs, none):
+    for r in quality.quality(docs).collect():
+        t = next(x[1] for x in ROWS if x[0] == r.doc_id) or ""
+        w = _words(t)
+        c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        m = [False] * len(w)
+        for k, g in enumerate(zip(w, w[1:], w[2:], strict=False)):
+            if c[g] > 1:
+                m[k : k + 3] = [True] * 3
+        lines = [x for x in t.split("\n") if _words(x)]
+        failed = len(w) < 50 or 100 * sum(m) > 50 * len(w)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), sum(m), failed), r
+        assert not (failed and r.kept) and (r.kept or failed or r.doc_id == 16)
+    assert quality.quality(none).count() == 0
+    assert quality.quality_rows(docs).columns == docs.columns
+
+
+def test_pii(docs, none):
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    r = got[14]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (2, 1, 1, 1) and ",iban:" in r.spans
+    text = next(x[1] for x in ROWS if x[0] == 14)
+    for span in r.spans.split(","):
+        kind, a, b = span.split(":")
+        assert {"email": "@", "ip": ".", "card": "4111", "phone": "+49", "iban": "GB82"}[kind] in text[int(a) : int(b)]
+    assert got[4].base_sha256 == hashlib.sha256(b"").hexdigest() and pii.find_pii(none).count() == 0
+
+
+def test_pii_validators(spark):
+    row = spark.range(1).select(*[pii.luhn(F.lit(x)) for x in ("4111111111111111", "4111111111111112")], *[pii.mod97(F.lit(x)) for x in ("GB82WEST12345698765432", "GB83WEST12345698765432")]).first()
+    assert tuple(row) == (True, False, True, False)
+
+
+def test_licenses(docs, none):
+    got = licenses.scan_licenses(docs).collect()
+    assert [(r.doc_id, r.license, r.n_shared, r.n_shingles) for r in got] == [(15, "Apache-2.0-line", 4, 4)]
+    assert licenses.scan_licenses(none).count() == 0
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(docs, {"short": "All rights reserved."})
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = corpus_pipeline.run(spark, sf).collect()
+    start = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == start
+        start += r.n_tokens
+    assert len(rows) > 50
