@@ -1,0 +1,31 @@
+"""Shortest paths from entrypoints to sinks by frontier joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def sink_paths(edges: DataFrame, entries: DataFrame, sinks: DataFrame, max_depth: int = 8) -> DataFrame:
+    """(entry, terminal, steps, depth) from edges (caller, callee), entries (entry) and sinks (node).
+
+    A path ends at the first sink it meets. A node is visited once an entry, on its least shortest path. The number of
+    rounds is bounded by ``max_depth``; nothing is gathered in the driver but whether a frontier is empty.
+    """
+    sink = sinks.select(F.col("node")).distinct().withColumn("is_sink", F.lit(True))
+    frontier = entries.select("entry", F.col("entry").alias("node"), F.array("entry").alias("steps")).distinct()
+    seen, out = frontier.select("entry", "node"), None
+    for depth in range(max_depth + 1):
+        marked = frontier.join(sink, "node", "left")
+        hit = marked.where("is_sink").select("entry", F.col("node").alias("terminal"), "steps", F.lit(depth).alias("depth"))
+        out = hit if out is None else out.unionByName(hit)
+        if depth == max_depth:
+            break
+        step = marked.where("is_sink is null").join(edges, F.col("node") == F.col("caller")).select("entry", F.col("callee").alias("node"), F.concat("steps", F.array("callee")).alias("steps"))
+        frontier = step.groupBy("entry", "node").agg(F.min("steps").alias("steps")).join(seen, ["entry", "node"], "left_anti")
+        if frontier.sparkSession.sparkContext.getCheckpointDir():
+            frontier = frontier.checkpoint()
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.select("entry", "node"))
+    return out
