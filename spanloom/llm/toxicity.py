@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import stored, text_of
 from spanloom.llm.kernels import gram_hashes, mix, split_words
 
-ORDER, SAMPLE, CUT = 5, 2500, 0.7
+ORDER, SAMPLE, CUT = 5, 1500, 0.7
 #: Characters a word may continue with, for the uniform share at the end of the fallback.
 ALPHABET = 256
 #: A word whose own difference is above this is strong evidence.
@@ -95,15 +95,31 @@ def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[low : low + 50_000, c])) for c in range(3)], names=["five", "last", "middle"])
 
 
+def _counted(words: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 5-grams with their first four, last four and middle three characters, and their counts in either class."""
+    parts = []
+    for low in range(0, max(len(words), 1), 30_000):
+        part = words.iloc[low : low + 30_000]
+        word, five, ctx, last, middle = _grams([_clean(w) for w in part["word"]])
+        n, toxic = part["n"].to_numpy(np.float64)[word], part["toxic"].to_numpy()[word]
+        parts.append(_summed(five, ctx, last, middle, np.stack([n * (toxic == 0), n * (toxic == 1)])))
+        if len(parts) == 4:
+            parts = [_summed(*(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True)))]
+    return _summed(*(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True)))
+
+
+def _summed(five, ctx, last, middle, counts):
+    keys, first, where = np.unique(five, return_index=True, return_inverse=True)
+    return keys, ctx[first], last[first], middle[first], np.stack([np.bincount(where, c, len(keys)) for c in counts])
+
+
 class Model:
     """Differences of the class log-probabilities: of the 5-grams that a class has seen, and of contexts for the others."""
 
     def __init__(self, words: pd.DataFrame, shared: pd.DataFrame):
         """words: (word, toxic, n). shared: (last, middle, n), continuation counts."""
-        word, five, ctx, last, middle = _grams([_clean(w) for w in words["word"]])
-        n, toxic = words["n"].to_numpy(np.float64)[word], words["toxic"].to_numpy()[word]
-        keys, first, where = np.unique(five, return_index=True, return_inverse=True)
-        ctxs, ctx_of = np.unique(ctx[first], return_inverse=True)
+        keys, ctx, last, middle, counts = _counted(words)
+        ctxs, ctx_of = np.unique(ctx, return_inverse=True)
         shared = shared.sort_values("last")
         s_last, s_n = shared["last"].to_numpy(np.int64).view(np.uint64), shared["n"].to_numpy(np.float64)
         order = np.argsort(s_last)
@@ -118,11 +134,11 @@ class Model:
             return np.where(keys[at] == of, values[at], 0.0)
 
         d = 0.75
-        c, total, kinds = found(last[first], s_last, s_n), found(middle[first], mids, mid_n), found(middle[first], mids, mid_types)
+        c, total, kinds = found(last, s_last, s_n), found(middle, mids, mid_n), found(middle, mids, mid_types)
         fallback = np.where(total > 0, (np.maximum(c - d, 0) + d * kinds / ALPHABET) / np.maximum(total, 1), 1 / ALPHABET)
         logs, rests = [], []
         for k in (0, 1):
-            c = np.bincount(where[toxic == k], n[toxic == k], len(keys))
+            c = counts[k]
             once, twice = (c == 1).sum(), (c == 2).sum()
             dk = once / (once + 2 * twice) if once and twice else 0.75
             total = np.bincount(ctx_of, c, len(ctxs))
@@ -214,7 +230,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: floa
         return _named(flat, cut, id_col)
     types = rows.select("text").mapInArrow(_types, "five long, last long, middle long").groupBy("five").agg(F.first("last").alias("last"), F.first("middle").alias("middle"))
     continued = types.groupBy("last").agg(F.count("*").alias("n"), F.first("middle").alias("middle"))
-    wanted = spark.createDataFrame(pd.DataFrame({"middle": np.unique(_grams([_clean(w) for w in words["word"].unique()])[4]).view(np.int64)}))
+    wanted = spark.createDataFrame(pd.DataFrame({"middle": np.unique(_counted(words)[3]).view(np.int64)}))
     shared = continued.join(F.broadcast(wanted), "middle", "left_semi").toPandas()
 
     fitted = []
