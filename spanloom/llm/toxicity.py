@@ -8,7 +8,7 @@ neither class has seen tells nothing, and a rare one little.
 
 A text's evidence is the difference of its log-likelihoods per character. A logistic curve, fitted on sampled
 documents that the model it is fitted with has not seen (two folds), turns the evidence, the number of words and how
-many of them are strong evidence by themselves into a score of 0 to 1.
+many of them are evidence by themselves, at three levels of strength, into a score of 0 to 1.
 Labels of held-out documents are never read; labels, lang, source and doc_id are no inputs of a score.
 
 Bounds: ``sample`` documents a class, those with the smallest hashes of their ids. Continuation counts are kept for
@@ -35,9 +35,10 @@ from spanloom.llm.kernels import gram_hashes, mix, split_words
 ORDER, SAMPLE, CUT = 5, 2500, 0.7
 #: Characters a word may continue with, for the uniform share at the end of the fallback.
 ALPHABET = 256
-#: A word whose own difference is above this is strong evidence.
-STRONG = 4.0
-SCORED = "id long, evidence double, score double, words long, strong long"
+#: A word whose own difference is above one of these is strong evidence of that level.
+STRONG = (4.0, 7.0, 10.0)
+COUNTS = [f"strong{i}" for i in range(len(STRONG))]
+SCORED = "id long, evidence double, score double, words long, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -161,20 +162,20 @@ class Model:
 
 
 def _evidence(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(difference per character, words, words that are STRONG evidence) of each text."""
+    """(difference per character, words, words at each level of STRONG evidence) of each text."""
     offsets, words, place = _distinct(texts)
     own, chars = model.evidence(words) if words else (np.zeros(0), np.zeros(0))
     sums = np.concatenate([[0.0], np.cumsum(own[place])])
     size = np.concatenate([[0.0], np.cumsum(chars[place])])
-    strong = np.concatenate([[0], np.cumsum(own[place] > STRONG)])
+    strong = np.stack([np.diff(np.concatenate([[0], np.cumsum(own[place] > level)])[offsets]) for level in STRONG])
     total, length = np.diff(sums[offsets]), np.diff(size[offsets])
-    return total / np.maximum(length, 1), np.diff(offsets), np.diff(strong[offsets])
+    return total / np.maximum(length, 1), np.diff(offsets), strong
 
 
 def features(evidence: np.ndarray, words: np.ndarray, strong: np.ndarray) -> np.ndarray:
     root = np.sqrt(np.minimum(words, 10_000) / 100)
-    share = strong / np.maximum(words, 1)
-    return np.stack([np.ones(len(words)), evidence * 10, evidence * root * 10, np.log1p(words) / 5, np.log1p(strong), np.minimum(share, 0.1) * 50], axis=1)
+    shares = np.minimum(strong / np.maximum(words, 1), 0.1) * 50
+    return np.stack([np.ones(len(words)), evidence * 10, evidence * root * 10, np.log1p(words) / 5, *np.log1p(strong), *shares], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -197,7 +198,7 @@ def _scored(model: Model, beta: np.ndarray):
                 part = batch.slice(low, 1000)
                 evidence, words, strong = _evidence(part.column(1), model)
                 score = 1 / (1 + np.exp(-np.clip(features(evidence, words, strong) @ beta, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(evidence), pa.array(score), pa.array(words), pa.array(strong)], names=["id", "evidence", "score", "words", "strong"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(evidence), pa.array(score), pa.array(words), *map(pa.array, strong)], names=["id", "evidence", "score", "words", *COUNTS])
 
     return run
 
@@ -223,25 +224,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: floa
     picked = rows.join(F.broadcast(picked), "id").dropDuplicates(["id"]).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)))
     picked = stored(picked, "sample")
     counted = picked.select("toxic", "fold", F.explode(F.split(text_of("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''").groupBy("word", "toxic", "fold").agg(F.count("*").alias("n"))
-    words = counted.toPandas()
+    words = counted.toArrow().to_pandas()
     if set(totals) != {0, 1} or words["toxic"].nunique() < 2:
         share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
         flat = rows.select(F.col("id"), F.lit(0.0).alias("evidence"), F.lit(float(share)).alias("score"))
         return _named(flat, cut, id_col)
     types = rows.select("text").mapInArrow(_types, "five long, last long, middle long").groupBy("five").agg(F.first("last").alias("last"), F.first("middle").alias("middle"))
     continued = types.groupBy("last").agg(F.count("*").alias("n"), F.first("middle").alias("middle"))
-    wanted = spark.createDataFrame(pd.DataFrame({"middle": np.unique(_counted(words)[3]).view(np.int64)}))
-    shared = continued.join(F.broadcast(wanted), "middle", "left_semi").toPandas()
+    wanted = spark.createDataFrame(pa.table({"middle": np.unique(_counted(words)[3]).view(np.int64)}))
+    shared = continued.join(F.broadcast(wanted), "middle", "left_semi").toArrow().to_pandas()
 
     fitted = []
     for fold in (0, 1):
         model = Model(words[words["fold"] == 1 - fold].reset_index(drop=True), shared)
-        got = picked.where(F.col("fold") == fold).select("id", "text").mapInArrow(_broadcast_map(spark, _scored, model, np.zeros(6)), SCORED)
-        fitted.append(got.join(picked.select("id", "toxic"), "id").toPandas())
+        got = picked.where(F.col("fold") == fold).select("id", "text").mapInArrow(_broadcast_map(spark, _scored, model, np.zeros(4 + 2 * len(STRONG))), SCORED)
+        fitted.append(got.join(picked.select("id", "toxic"), "id").toArrow().to_pandas())
     fitted = pd.concat(fitted)
     y = fitted["toxic"].to_numpy(np.float64)
     weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
-    beta = fit_logistic(features(*(fitted[c].to_numpy() for c in ("evidence", "words", "strong"))), y, weight / weight.mean())
+    beta = fit_logistic(features(fitted["evidence"].to_numpy(), fitted["words"].to_numpy(), fitted[COUNTS].to_numpy().T), y, weight / weight.mean())
     model = Model(words.groupby(["word", "toxic"], as_index=False)["n"].sum(), shared)
     return _named(rows.mapInArrow(_broadcast_map(spark, _scored, model, beta), SCORED), cut, id_col)
 
