@@ -239,7 +239,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: floa
         model = Model(words[words["fold"] == 1 - fold].reset_index(drop=True), shared)
         got = picked.where(F.col("fold") == fold).select("id", "text").mapInArrow(_broadcast_map(spark, _scored, model, np.zeros(4 + 2 * len(STRONG))), SCORED)
         fitted.append(got.join(picked.select("id", "toxic"), "id").toArrow().to_pandas())
-    fitted = pd.concat(fitted)
+    fitted = pd.concat(fitted).sort_values("id")
     y = fitted["toxic"].to_numpy(np.float64)
     weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
     beta = fit_logistic(features(fitted["evidence"].to_numpy(), fitted["words"].to_numpy(), fitted[COUNTS].to_numpy().T), y, weight / weight.mean())
