@@ -22,6 +22,7 @@ its row; other columns are not looked at.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,29 +138,52 @@ def _patterns(window: int, phrase: int):
     return run
 
 
-def _occurrences(automaton, words: list[str], doc_id: int, window: int) -> np.ndarray:
-    """Marks of the words that go."""
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # each word and the space behind it
-    place = {int(e): i for i, e in enumerate(ends)}
-    marks = np.zeros(len(words) + 1, np.int64)
-    for end, patterns in automaton.iter(" " + " ".join(words) + " "):
-        stop = place[end] + 1  # the pattern ends with a space, which stands at ``end`` in the padded text
-        for owner, left, size, right in patterns:
+def _agreeing(padded: str, words: list[str], step: int, at: int) -> int:
+    """How many of a pattern's words on one side (padded by spaces) the document repeats from word ``at`` on."""
+    n = 0
+    for x in padded[1:-1].split(" ")[::step]:
+        if not 0 <= at < len(words) or words[at] != x:
+            break
+        at += step
+        n += 1
+    return n
+
+
+def _missing(text: str, ends: list[int], gone: bytearray, a: int, b: int, reach: int) -> tuple[str, str]:
+    """How a right side has to start, or a left side to end, to reach the nearest word that stays (padded by spaces)."""
+    if gone.find(0, a, b) >= 0:
+        return " ", " "  # inside the phrase: any will do
+    x, y = gone.find(0, b, b + reach), gone.rfind(0, max(0, a - reach), a)
+    # No side holds a line break.
+    return text[ends[b - 1] : ends[x] + 1] if x >= 0 else "\n", text[ends[y - 1] if y else 0 : ends[a - 1] + 1] if y >= 0 else "\n"
+
+
+def _occurrences(automaton, words: list[str], doc_id: int, window: int) -> bytearray:
+    """A byte for each word: 1 for words that go.
+
+    Patterns that cannot reach a word that stays are passed over; each side of the others is compared as one string
+    first, and word by word where that differs.
+    """
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()  # the space behind each word
+    text, gone = " " + " ".join(words) + " ", bytearray(len(words))
+    for end, (key, size, patterns) in automaton.iter(text):
+        stop = bisect_left(ends, end) + 1  # the pattern ends with a space, which stands at ``end``
+        first, need = end + 1 - len(key), None
+        for owner, left, n_left, right, n_right in patterns:
             if owner >= doc_id:
                 continue
-            a, b = stop - size, stop
-            for x in reversed(left):
-                if a == 0 or words[a - 1] != x:
-                    break
-                a -= 1
-            for x in right:
-                if b == len(words) or words[b] != x:
-                    break
-                b += 1
+            need = need or _missing(text, ends, gone, stop - size, stop, window)
+            if not (right.startswith(need[0]) or left.endswith(need[1])):
+                continue
+            a, b, begin = stop - size, stop, first + 1 - len(left)
+            if n_left:
+                a -= n_left if begin >= 0 and text.startswith(left, begin) else _agreeing(left, words, -1, a - 1)
+            if n_right:
+                b += n_right if text.startswith(right, end) else _agreeing(right, words, 1, b)
             if b - a >= window:
-                marks[a] += 1
-                marks[b] -= 1
-    return np.cumsum(marks[:-1]) > 0
+                gone[a:b] = b"\1" * (b - a)
+                need = None
+    return gone
 
 
 def _stream(window: int):
@@ -171,22 +195,23 @@ def _stream(window: int):
         shard, automaton, found = None, None, {}
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                if r["shard"] != shard:
-                    shard, automaton, found = r["shard"], None, {}
-                if r["kind"] == 0:
-                    found.setdefault(f" {r['phrase']} ", []).append((r["id"], r["left"].split(" ") if r["left"] else [], r["phrase"].count(" ") + 1, r["right"].split(" ") if r["right"] else []))
+            for now, kind, doc_id, h, left, phrase, right in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "id", "h", "left", "phrase", "right")), strict=True):
+                if now != shard:
+                    shard, automaton, found = now, None, {}
+                if kind == 0:
+                    left, right = (f" {x} " if x else " " for x in (left, right))
+                    found.setdefault(f" {phrase} ", []).append((doc_id, left, left.count(" ") - 1, right, right.count(" ") - 1))
                     continue
                 if automaton is None:
                     automaton = ahocorasick.Automaton()
                     for k, v in found.items():
-                        automaton.add_word(k, v)
+                        automaton.add_word(k, (k, k.count(" ") - 1, sorted(v, key=lambda x: (-x[2] - x[4], x[0]))))  # the widest first
                     found = {}
                     automaton.make_automaton()
-                words = split_words(pa.array([r["phrase"]]))[1].to_pylist()
-                gone = _occurrences(automaton, words, r["id"], window) if len(automaton) else np.zeros(len(words), bool)
-                if gone.any():
-                    out.append((r["id"], r["h"], " ".join(w for w, g in zip(words, gone, strict=True) if not g), int(gone.sum())))
+                words = split_words(pa.array([phrase]))[1].to_pylist()
+                gone = _occurrences(automaton, words, doc_id, window) if len(automaton) else bytearray(len(words))
+                if any(gone):
+                    out.append((doc_id, h, " ".join(w for w, g in zip(words, gone, strict=True) if not g), sum(gone)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["id", "h", "kept", "n_removed"])
 
