@@ -66,3 +66,17 @@ def words_of(column: str | Column = "text") -> Column:
 def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, limit: int = 50_000) -> DataFrame:
     """Broadcasts ``small`` only if its counted ``rows`` are within ``limit``; beyond, a shuffled join that AQE splits on skew."""
     return big.join(F.broadcast(small) if rows <= limit else small, on, how)
+
+
+#: A key with more than this share of the rows is joined by a broadcast: fewer than 1 / HOT_SHARE keys can have it.
+HOT_SHARE = 0.001
+
+
+def join_split(big: DataFrame, keys: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``big`` with ``keys`` (one row a key; ``count``: rows of ``big`` with it, ``total``: all its rows).
+
+    Rows of frequent keys stay where they are and meet the few keys by a broadcast, the others are shuffled.
+    """
+    often = F.col(count) > F.lit(total * HOT_SHARE)
+    hot, rest = F.broadcast(keys.where(often)), keys.where(~often)
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(rest, key))

@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import drop_stored, join_bounded, stored
+from spanloom.llm.common import drop_stored, join_bounded, join_split, stored
 from spanloom.llm.components import connected_components
 from spanloom.llm.kernels import mix, shingle_sets
 
 THRESHOLD, TARGET_RECALL, BUCKET, DEPTH, BLOCK = 0.8, 0.9999, 256, 3, 1024
+#: Values that are intersected at once, about.
+VALUES = 4_000_000
 
 
 def runs_for(target_recall: float) -> int:
@@ -103,7 +105,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), sets], names=["rep", "leaves", "shingles"])
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
+def _products(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of the sets (each of distinct values), by products of 0/1 matrices of shared values."""
     n = len(sets)
     out = np.zeros((n, n), np.int32)
@@ -124,6 +126,14 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _common(sets: list[np.ndarray], values: int = VALUES) -> np.ndarray:
+    """Sizes of all intersections of the sets, by shares of about ``values`` values to bound memory."""
+    k = sum(map(len, sets)) // values + 1
+    if k == 1:
+        return _products(sets)
+    return sum(_products([s[s % k == r] for s in sets]) for r in range(k))
+
+
 def _compare(leaf: int, cross: bool, reps: np.ndarray, blocks: np.ndarray, leaves: list[np.ndarray], sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rep, links that this leaf owns, root): a link belongs to the smallest leaf that both classes are in."""
     reps, first = np.unique(reps, return_index=True)
@@ -212,14 +222,15 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
     for d in range(1, depth + 1):
         level = stored(level, "paths")
         used.append(level)
+        total = level.count()
         sums = level.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y")).where("c > 1")
         large = sums.where(F.col("c") > bucket)
         # Buckets of the same classes are compared once.
         once = (sums if d == depth else sums.where(F.col("c") <= bucket)).groupBy("c", "x", "y").agg(F.min("key").alias("key"))
-        leaf_rows.append(level.join(once.select("key", "c"), "key").select(F.col("key").alias("leaf"), "c", "rep", "n"))
+        leaf_rows.append(join_split(level, once.select("key", "c"), "key", "c", total).select(F.col("key").alias("leaf"), "c", "rep", "n"))
         if d == depth:
             break
-        again = stored(level.join(large.select("key"), "key").groupBy("rep").agg(F.collect_set("key").alias("paths")), "again")
+        again = stored(join_split(level, large.select("key", "c"), "key", "c", total).groupBy("rep").agg(F.collect_set("key").alias("paths")), "again")
         used.append(again)
         count = again.count()
         if not count:

@@ -84,6 +84,15 @@ def test_jaccard_join_dense_group(spark):
     assert {r.n_links for r in got} == {299} and {r.class_id for r in got} == {0}
 
 
+def test_intersections_by_shares():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(-40, 40, n)) for n in (0, 5, 30, 60, 60)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    for values in (1, 16, 10_000):
+        got = jaccard_join._common(sets, values)
+        assert all(got[i][j] == want[i][j] for i in range(5) for j in range(5) if i != j)
+
+
 def test_contaminated(spark, docs, none):
     items = spark.createDataFrame([(1, ITEM), (2, None), (3, "one two"), (3, "one two"), (4, "not there at all in these texts")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_shared, r.n_shingles) for r in contamination.contaminated(docs, items).collect()}
