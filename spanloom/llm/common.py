@@ -72,11 +72,11 @@ def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str, rows
 HOT_SHARE = 0.001
 
 
-def join_split(big: DataFrame, keys: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Inner join of ``big`` with ``keys`` (one row a key; ``count``: rows of ``big`` with it, ``total``: all its rows).
+def join_split(big: DataFrame, keys: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left_semi join of ``big`` with ``keys`` (one row a key; ``count``: rows of ``big`` with it, ``total``: all its rows).
 
     Rows of frequent keys stay where they are and meet the few keys by a broadcast, the others are shuffled.
     """
     often = F.col(count) > F.lit(total * HOT_SHARE)
     hot, rest = F.broadcast(keys.where(often)), keys.where(~often)
-    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(rest, key))
+    return big.join(hot, key, how).unionByName(big.join(hot.select(key), key, "left_anti").join(rest, key, how))

@@ -230,7 +230,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
         leaf_rows.append(join_split(level, once.select("key", "c"), "key", "c", total).select(F.col("key").alias("leaf"), "c", "rep", "n"))
         if d == depth:
             break
-        again = stored(join_split(level, large.select("key", "c"), "key", "c", total).groupBy("rep").agg(F.collect_set("key").alias("paths")), "again")
+        again = stored(join_split(level, large.select("key", "c"), "key", "c", total, "left_semi").groupBy("rep").agg(F.collect_set("key").alias("paths")), "again")
         used.append(again)
         count = again.count()
         if not count:
