@@ -7,8 +7,9 @@ share at least one path. Buckets of up to ``bucket`` classes are compared by bru
 on newly sampled shared shingles, and those still larger at the last depth are compared in blocks of ``BLOCK``, so no
 bucket is capped. Every link is verified on the whole shingle sets.
 
-Recall: sets at the threshold expect at least one shared sample, so a run finds such a pair with probability at
-least ``1 - 1/e`` at the first depth; ``runs_for`` repeats runs until the target recall.
+Recall: sets at the threshold expect at least one shared sample a depth, and a path that is split again can end at each of
+them: a run finds a pair whose buckets are all large with probability ``s(depth)``, where ``s(0) = 1`` and
+``s(d) = 1 - exp(-s(d - 1))``. ``runs_for`` repeats runs until the target recall holds at the last depth.
 
 Defined results: null, empty and blank texts have no shingles, are a class of their own each and link with nothing;
 texts of one to four words are one shingle, their whole word sequence; rows with a null id come back with null class
@@ -35,9 +36,13 @@ THRESHOLD, TARGET_RECALL, BUCKET, DEPTH, BLOCK = 0.8, 0.9999, 256, 3, 1024
 VALUES = 4_000_000
 
 
-def runs_for(target_recall: float) -> int:
-    """Runs after which a pair at the threshold is missed with probability below ``1 - target_recall``."""
-    return math.ceil(math.log(1 - target_recall) / -1.0)
+def runs_for(target_recall: float, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold, split at every depth, is missed with probability below ``1 - target_recall``."""
+    found = 1.0
+    for _ in range(depth - 1):
+        found = 1 - math.exp(-found)
+    # A run misses with probability exp(-found): no shared sample of the first depth leads to a shared leaf.
+    return math.ceil(math.log(1 - target_recall) / -found)
 
 
 def _sampled(doc: np.ndarray, grams: np.ndarray, sizes: np.ndarray, seed: np.ndarray | np.uint64, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +209,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
     ``threshold`` similar; ``class_id``: the smallest id of the connected group of equal and linked documents.
     """
     spark = docs.sparkSession
-    runs = runs_for(target_recall)
+    runs = runs_for(target_recall, depth)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = rows.where("id is not null")
     seals = stored(texts.mapInArrow(_signatures(threshold, runs), "id long, s1 long, s2 long, n long, keys array<long>"), "seals")

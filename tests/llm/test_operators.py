@@ -84,6 +84,17 @@ def test_jaccard_join_dense_group(spark):
     assert {r.n_links for r in got} == {299} and {r.class_id for r in got} == {0}
 
 
+def test_jaccard_join_recall_of_split_buckets(spark):
+    """Pairs at the threshold whose every bucket is split down to the last depth: the target recall holds there too."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(0, 6000, 2):
+        words = [f"v{rng.randrange(10**9)}" for _ in range(104)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:84]))]  # 100 and 80 shingles, 80 shared
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), bucket=1).where("n_links = 0").count()
+    assert got <= 4 and jaccard_join.runs_for(0.9999, 1) == 10 and jaccard_join.runs_for(0.9999, 3) == 20
+
+
 def test_intersections_by_shares():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(-40, 40, n)) for n in (0, 5, 30, 60, 60)]
