@@ -3,12 +3,14 @@
 Base rules count words, symbols, repeated lines and words in repeated three-word windows of every whole text. Texts
 that pass them are held against their language and source: the minimum covariance determinant of each group's transformed
 statistics (log of the mean word length; roots of the shares of symbols, repeated lines and repeated words) is
-approached by concentration steps, each of which refits mean and covariance to the three quarters of the group that are
-nearest by the last fit. A text whose squared Mahalanobis distance from the last fit is above ``CUTOFF`` goes.
+sought by concentration steps, each of which refits mean and covariance to the ``(n + p + 1) / 2`` texts of the group that
+are nearest by the last fit. Three starts (medians with median absolute deviations, medians with the added deviations alone,
+mean and covariance) take steps until the determinant no longer falls; of all fits the one with the smallest is kept. A text
+whose squared Mahalanobis distance from it is above ``CUTOFF`` goes.
 
 Groups of fewer than ``least`` texts are fitted together. Every statistic has a variance of its own added, so that a
 group whose texts have no symbols at all does not reject the first one that has some. Statistics are rounded to
-1/1024 and summed as integers; distances are ranked in logarithmic bins: reruns agree whatever the partitioning.
+1/1024 and summed as integers; distances are ranked in logarithmic bins, a core ends with a whole bin: reruns agree whatever the partitioning.
 
 Cost: texts are read once; all later passes run on the table of statistics, and groups are only ever summed, so one source
 may hold any share of the rows.
@@ -20,6 +22,8 @@ not looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +32,14 @@ from spanloom.llm.common import SPACE, join_bounded, stored, text_of
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Added standard deviations of the four statistics; the share of a group that is fitted; what corrects the spread
-#: of that share (four normal variables, 0.75); the squared distance beyond which texts go; fitting steps.
-FLOORS, CORE, SPREAD, CUTOFF, STEPS, LEAST = (0.1, 0.04, 0.25, 0.2), (3, 4), 1.485, 30.0, 3, 50
+#: Added standard deviations of the four statistics; what corrects the spread of the nearest half (four normal variables);
+#: the squared distance beyond which texts go; the least group that is fitted by itself.
+FLOORS, SPREAD, CUTOFF, LEAST = (0.1, 0.04, 0.25, 0.2), 2.109, 30.0, 50
+#: A start goes on while a step lowers its log determinant by more than this.
+FALL = 1e-3
 SCALE, DIMS = 1024, 4
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+SUMS = ["n", *[f"s{i}" for i in range(DIMS)], *[f"q{i}{j}" for i, j in PAIRS]]
 #: Bits of a packed window that hold its place; longer texts are sorted unpacked.
 PLACE = 22
 
@@ -84,32 +92,80 @@ def _vector(words: Column) -> list[Column]:
     return [F.round(x * SCALE).cast("long") for x in raw]
 
 
-def _fit(rows: DataFrame, spread: float) -> DataFrame:
-    """(g, m*, l*): means and the lower Cholesky factor of the covariance of each group, in units of 1."""
-    pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-    sums = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in pairs])
-    fit = sums.select("g", *[(F.col(f"s{i}") / F.col("n") / SCALE).alias(f"m{i}") for i in range(DIMS)], *[((F.col(f"q{i}{j}") / F.col("n") - (F.col(f"s{i}") / F.col("n")) * (F.col(f"s{j}") / F.col("n"))) / SCALE**2 * spread + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i, j in pairs])
+def _sums() -> list[Column]:
+    """Count, sums and sums of products of the statistics."""
+    return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]]
+
+
+def _factored(fit: DataFrame) -> DataFrame:
+    """(g, start, m*, l*, logdet) from means m* and covariances c*, in units of 1: l* is the lower Cholesky factor."""
     for i in range(DIMS):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             fit = fit.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return fit.select("g", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in pairs])
+    logdet = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(DIMS)), F.lit(0.0))
+    return fit.withColumn("logdet", logdet).select("g", "start", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in PAIRS], "logdet")
+
+
+def _fit(sums: DataFrame, spread: float) -> DataFrame:
+    """The fit to the rows that ``sums`` (g, start, n, s*, q*) adds up."""
+    return _factored(sums.select("g", "start", *[(F.col(f"s{i}") / F.col("n") / SCALE).alias(f"m{i}") for i in range(DIMS)], *[((F.col(f"q{i}{j}") / F.col("n") - (F.col(f"s{i}") / F.col("n")) * (F.col(f"s{j}") / F.col("n"))) / SCALE**2 * spread + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i, j in PAIRS]))
+
+
+def _medians(rows: DataFrame, of: list[Column], name: str) -> DataFrame:
+    """(g, name0, ...): the lower medians of whole numbers in each group, by counts of their values."""
+    values = rows.select("g", F.posexplode(F.array(*of)).alias("i", "v")).groupBy("g", "i", "v").agg(F.count("*").alias("c"))
+    by = Window.partitionBy("g", "i")
+    upper = values.withColumn("upto", F.sum("c").over(by.orderBy("v"))).withColumn("all", F.sum("c").over(by)).where(2 * F.col("upto") >= F.col("all"))
+    return upper.groupBy("g").agg(*[F.min(F.when(F.col("i") == i, F.col("v"))).alias(f"{name}{i}") for i in range(DIMS)])
+
+
+def _starts(points: DataFrame, groups: int) -> DataFrame:
+    middle = stored(_medians(points, [F.col(f"x{i}") for i in range(DIMS)], "e"), "medians")
+    off = join_bounded(points, middle, ["g"], "inner", groups)
+    spread = _medians(off, [F.abs(F.col(f"x{i}") - F.col(f"e{i}")) for i in range(DIMS)], "d")
+    both = stored(middle.join(spread, "g"), "medians")
+    centre = [(F.col(f"e{i}") / SCALE).alias(f"m{i}") for i in range(DIMS)]
+    diagonal = lambda mad: [(F.pow(1.4826 * mad * F.col(f"d{i}") / SCALE, F.lit(2.0)) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    robust = [_factored(both.select("g", F.lit(k).alias("start"), *centre, *diagonal(mad))) for k, mad in ((0, 1.0), (1, 0.0))]
+    return robust[0].unionByName(robust[1]).unionByName(_fit(points.groupBy("g").agg(*_sums()).withColumn("start", F.lit(2)), 1.0))
+
+
+def _core(points: DataFrame, fits: DataFrame, groups: int) -> DataFrame:
+    """For each of ``fits``, the fit to the half of its group that is nearest by it. One pass over the points."""
+    near = _measured(points, fits, groups).withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * 64).cast("int"))
+    by = Window.partitionBy("g", "start")
+    bins = near.groupBy("g", "start", "bin").agg(*_sums()).withColumn("before", F.sum("n").over(by.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(by))
+    core = bins.where(F.col("before") < F.floor((F.col("all") + DIMS + 1) / 2))
+    return _fit(core.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in SUMS]), SPREAD)
+
+
+def _least_fit(points: DataFrame, groups: int) -> DataFrame:
+    """(g, m*, l*): the fit of the smallest determinant of each group, over all starts and steps."""
+    fits = [stored(_core(points, stored(_starts(points, groups), "starts"), groups), "fit")]
+    while fits[-1].count():
+        last = fits[-1].select("g", "start", F.col("logdet").alias("was"))
+        # Stored before it is filtered: a condition on logdet would be pushed down with all it is made of.
+        new = stored(_core(points, fits[-1], groups), "fit")
+        fits.append(stored(new.join(last, ["g", "start"]).where(F.col("logdet") < F.col("was") - FALL).drop("was"), "fit"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))
+    return stored(reduce(DataFrame.unionByName, fits).withColumn("place", place).where("place = 1").drop("place", "start", "logdet"), "fit")
 
 
 def _measured(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
-    """The rows with their squared distance d2 by the fit of their group."""
-    df = join_bounded(rows, fit, ["g"], "inner", groups)
+    """The rows with their squared distance d2 by the fit of their group, or by each of its starts."""
+    df = join_bounded(rows, fit, ["g"], "inner", groups * 3)
     for i in range(DIMS):
         y = F.col(f"x{i}") / SCALE - F.col(f"m{i}")
         for k in range(i):
             y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
         df = df.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-    return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIMS)), F.lit(0.0))).select(*rows.columns, "d2")
+    return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIMS)), F.lit(0.0))).select(*rows.columns, *[c for c in fit.columns if c == "start"], "d2")
 
 
-def quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(id_col, counts, base_failed, distance, kept, text_hash) for each row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     counts = base_counts(rows).withColumn("text_hash", F.xxhash64(text_of())).drop("text")
@@ -120,16 +176,7 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS, least:
     sizes = stored(sizes, "groups")
     groups = sizes.count()
     sound = join_bounded(stats.where("not base_failed"), sizes.select("lang", "source", "g"), ["lang", "source"], "inner", groups)
-    points = sound.select("g", *[f"x{i}" for i in range(DIMS)])
-    fit = stored(_fit(points, 1.0), "fit")
-    level = F.floor(F.log2(1 + F.col("d2")) * 64).cast("int")
-    for _ in range(steps):
-        near = _measured(points, fit, groups).withColumn("bin", level)
-        bins = near.groupBy("g", "bin").agg(F.count("*").alias("c"))
-        by = Window.partitionBy("g")
-        cut = bins.withColumn("upto", F.sum("c").over(by.orderBy("bin"))).withColumn("all", F.sum("c").over(by)).where(F.col("upto") * CORE[1] >= F.col("all") * CORE[0]).groupBy("g").agg(F.min("bin").alias("cut"))
-        core = join_bounded(near, stored(cut, "cut"), ["g"], "inner", groups).where("bin <= cut")
-        fit = stored(_fit(core, SPREAD), "fit")
+    fit = _least_fit(stored(sound.select("g", *[f"x{i}" for i in range(DIMS)]), "points"), groups)
     known = join_bounded(stats, sizes.select("lang", "source", "g"), ["lang", "source"], "left", groups)
     scored = _measured(known.where("not base_failed"), fit, groups).withColumn("distance", F.col("d2"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", "text_hash"]

@@ -258,6 +258,18 @@ def test_quality(docs, none):
     assert quality.quality_rows(docs).columns == docs.columns
 
 
+def test_quality_of_a_group_with_two_fifths_junk(spark):
+    rng, rows = random.Random(4), []
+    for i in range(300):
+        w = [f"{rng.choice(['calo', 'given', 'forest', 'bume'])}{rng.randrange(10**4)}" for _ in range(60)]
+        if i % 5 < 2:
+            w = [x + "#$%"[: rng.randrange(2, 4)] for x in w]
+        rows.append((i, " ".join(w), "en", "a"))
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == 300 and not any(r.base_failed for r in got)
+    assert [r.doc_id for r in got if r.kept != (r.doc_id % 5 >= 2)] == []
+
+
 def test_pii(docs, none):
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
     r = got[14]
