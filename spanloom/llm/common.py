@@ -14,10 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only on a local master where it is unset."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -49,6 +51,25 @@ def drop_stored(df: DataFrame) -> None:
             return
 
 
+class Scratch:
+    """The stored tables of one run, deleted together once its result is stored."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Stores the result and deletes all tables before it."""
+        out = stored(df, name)
+        for t in self.tables:
+            drop_stored(t)
+        self.tables = []
+        return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,11 +93,12 @@ def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str, rows
 HOT_SHARE = 0.001
 
 
-def join_split(big: DataFrame, keys: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def join_split(big: DataFrame, keys: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Inner or left_semi join of ``big`` with ``keys`` (one row a key; ``count``: rows of ``big`` with it, ``total``: all its rows).
 
     Rows of frequent keys stay where they are and meet the few keys by a broadcast, the others are shuffled.
     """
+    on = [key] if isinstance(key, str) else key
     often = F.col(count) > F.lit(total * HOT_SHARE)
     hot, rest = F.broadcast(keys.where(often)), keys.where(~often)
-    return big.join(hot, key, how).unionByName(big.join(hot.select(key), key, "left_anti").join(rest, key, how))
+    return big.join(hot, on, how).unionByName(big.join(hot.select(*on), on, "left_anti").join(rest, on, how))

@@ -13,7 +13,8 @@ them: a run finds a pair whose buckets are all large with probability ``s(depth)
 
 Defined results: null, empty and blank texts have no shingles, are a class of their own each and link with nothing;
 texts of one to four words are one shingle, their whole word sequence; rows with a null id come back with null class
-and zero links; repeated rows come back as often as they came, other columns are not looked at.
+and zero links; repeated rows come back as often as they came; rows of one id with different texts are different documents,
+told apart by the hashes of their texts; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import drop_stored, join_bounded, join_split, stored
+from spanloom.llm.common import Scratch, drop_stored, join_bounded, join_split, stored
 from spanloom.llm.components import connected_components
 from spanloom.llm.kernels import mix, shingle_sets
 
@@ -63,14 +64,14 @@ def _signatures(threshold: float, runs: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                offsets, grams = shingle_sets(part.column(1))
+                offsets, grams = shingle_sets(part.column(2))
                 sizes = np.diff(offsets)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 seals = np.array([np.frombuffer(xxhash.xxh3_128_digest(grams[a:b].tobytes()), np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]).reshape(-1, 2)
                 with np.errstate(over="ignore"):
                     got = [_sampled(doc, grams, sizes, mix(np.array([r + 1], np.uint64))[0], threshold) for r in range(runs)]
                 keys = _lists(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), len(sizes))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(seals[:, 0]), pa.array(seals[:, 1]), pa.array(sizes.astype(np.int64)), keys], names=["id", "s1", "s2", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(seals[:, 0]), pa.array(seals[:, 1]), pa.array(sizes.astype(np.int64)), keys], names=["id", "h", "s1", "s2", "n", "keys"])
 
     return run
 
@@ -203,26 +204,37 @@ def _brute(threshold: float):
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, bucket: int = BUCKET, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, rep_id, class_id, n_links) for each row of ``docs``.
+    """(id_col, rep_id, class_id, n_links, text_hash, rep_hash, class_hash) for each row of ``docs``.
 
     ``rep_id``: the smallest id with the same shingle set; ``n_links``: how many other shingle sets are at least
-    ``threshold`` similar; ``class_id``: the smallest id of the connected group of equal and linked documents.
+    ``threshold`` similar; ``class_id``: the smallest id of the connected group of equal and linked documents. The hashes
+    of the texts of the row, of ``rep_id`` and of ``class_id`` tell rows apart that share an id.
     """
     spark = docs.sparkSession
+    keep = Scratch()
     runs = runs_for(target_recall, depth)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     texts = rows.where("id is not null")
-    seals = stored(texts.mapInArrow(_signatures(threshold, runs), "id long, s1 long, s2 long, n long, keys array<long>"), "seals")
-    # Empty sets are all equal, but no copies of each other.
-    reps = seals.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    members = stored(
-        seals.where("n > 0").join(reps, ["s1", "s2"]).select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys"))
-        .unionByName(seals.where("n = 0").select("id", F.col("id").alias("rep"), "n", F.lit(None).cast("array<long>").alias("keys"))),
-        "members",
-    )
-    drop_stored(seals)
-
-    level = members.select(F.explode("keys").alias("key"), "rep", "n")
+    seals = keep(texts.select("id", "h", "text").mapInArrow(_signatures(threshold, runs), "id long, h long, s1 long, s2 long, n long, keys array<long>"), "seals")
+    # Equal sets have equal keys; empty sets are all equal, but no copies of each other.
+    equal = seals.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "h")).alias("r"), F.first("n").alias("n"), F.count("*").alias("c"), F.first("keys").alias("keys"))
+    # Numbered as they are written: the numbers are those of the stored table.
+    classes = keep(equal.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "n", "c", F.col("r.id").alias("rep_id"), F.col("r.h").alias("rep_hash"), "keys"), "classes")
+    sources = texts.withColumnsRenamed({"id": "rep_id", "h": "rep_hash"})
+    repeated = keep(seals.groupBy(F.col("id").alias("rep_id"), F.col("h").alias("rep_hash")).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), "repeated")
+    n_repeated = repeated.count()
+
+    def with_text(wanted: DataFrame, count: int, limit: int) -> DataFrame:
+        """``wanted`` (rep, ...) with the text of each class, which is the only row of its id and hash or one of equal rows."""
+        named = wanted.join(classes.select("rep", "rep_id", "rep_hash"), "rep")
+        if not n_repeated:
+            return join_bounded(sources, named, ["rep_id", "rep_hash"], "inner", count, limit)
+        again = join_bounded(named, repeated, ["rep_id", "rep_hash"], "left_semi", n_repeated)
+        once = join_bounded(named, repeated, ["rep_id", "rep_hash"], "left_anti", n_repeated)
+        met = [join_bounded(sources, x, ["rep_id", "rep_hash"], "inner", count, limit) for x in (once, again)]
+        return met[0].unionByName(met[1].dropDuplicates(["rep"]))
+
+    level = classes.select(F.explode("keys").alias("key"), "rep", "n")
     leaf_rows, used = [], []
     for d in range(1, depth + 1):
         level = stored(level, "paths")
@@ -240,8 +252,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
         count = again.count()
         if not count:
             break
-        wanted = join_bounded(texts.withColumnRenamed("id", "rep"), again, ["rep"], "inner", count)
-        level = wanted.select("rep", "text", "paths").mapInArrow(_children(threshold), "key long, rep long, n long")
+        level = with_text(again, count, 50_000).select("rep", "text", "paths").mapInArrow(_children(threshold), "key long, rep long, n long")
     leaves = leaf_rows[0]
     for more in leaf_rows[1:]:
         leaves = leaves.unionByName(more)
@@ -256,8 +267,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
     pairs = stored(small.unionByName(leaves.where(F.col("c") > bucket).select("leaf", "c", "rep")), "pairs")
     drop_stored(leaves)
     involved = pairs.groupBy("rep").agg(F.collect_set("leaf").alias("leaves"))
-    sets = join_bounded(texts.withColumnRenamed("id", "rep"), involved, ["rep"], "inner", pairs.select("rep").distinct().count(), 100_000).select("rep", "text", "leaves")
-    sets = sets.mapInArrow(_with_sets, "rep long, leaves array<long>, shingles array<long>")
+    sets = with_text(involved, pairs.select("rep").distinct().count(), 100_000).select("rep", "text", "leaves").mapInArrow(_with_sets, "rep long, leaves array<long>, shingles array<long>")
     sizes = pairs.where(F.col("c") > bucket).select("leaf", "c").distinct()
     placed = sets.select("rep", "leaves", "shingles", F.explode("leaves").alias("leaf")).join(F.broadcast(sizes) if sizes.count() <= 50_000 else sizes, "leaf", "left")
     m = F.ceil(F.coalesce(F.col("c"), F.lit(1)) / max(bucket, BLOCK)).cast("long")
@@ -265,12 +275,38 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     placed = placed.select("leaf", F.least("o", "block").alias("i"), F.greatest("o", "block").alias("j"), "block", "rep", "leaves", "shingles")
     found = placed.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInArrow(_brute(threshold), "rep long, links long, root long")
-    found = stored(found, "links")
+    found = keep(found, "links")
     drop_stored(pairs)
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_rep = stored(found.groupBy("rep").agg(F.sum("links").alias("n_links")).join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left"), "groups")
-    drop_stored(found)
-    out = members.select("id", "rep").join(per_rep, "rep", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("rep").alias("rep_id"), F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    none = rows.where("id is null").select(F.col("id").alias(id_col), F.col("id").alias("rep_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(none)
+    linked = found.groupBy("rep").agg(F.sum("links").alias("n_links")).join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    linked = keep(linked.join(classes.select("rep", "rep_id", "rep_hash"), "rep"), "groups")
+    firsts = linked.groupBy("component").agg(F.min(F.struct("rep_id", "rep_hash")).alias("top"))
+    named = linked.select("rep", "n_links", "component").join(firsts, "component").select("rep", "n_links", "top")
+    of_class = classes.select("rep", "s1", "s2", "c", "rep_id", "rep_hash").join(named, "rep", "left")
+    of_class = of_class.select("s1", "s2", "c", "rep_id", "rep_hash", F.coalesce("top.rep_id", "rep_id").alias("class_id"), F.coalesce("top.rep_hash", "rep_hash").alias("class_hash"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = keep(of_class, "classes")
+    out = join_split(seals.where("n > 0").select("id", "h", "s1", "s2"), of_class, ["s1", "s2"], "c", seals.count())
+    names = ["id", "h", "rep_id", "rep_hash", "class_id", "class_hash", "n_links"]
+    alone = lambda df, h: df.select("id", "h", F.col("id").alias("rep_id"), F.col("h").alias("rep_hash"), F.col("id").alias("class_id"), F.col("h").alias("class_hash"), F.lit(0).cast("long").alias("n_links"))
+    out = out.select(*names).unionByName(alone(seals.where("n = 0"), "h")).unionByName(alone(rows.where("id is null"), "h"))
+    return keep.result(out.select(F.col("id").alias(id_col), "rep_id", "class_id", "n_links", F.col("h").alias("text_hash"), "rep_hash", "class_hash"), "near")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without those that equal or resemble one of a smaller (id, text): one row of each group stays.
+
+    Rows with a null id stay, as do all empty and blank texts; of rows with equal id and text one stays.
+    """
+    found = stored(jaccard_join(docs, id_col=id_col, text_col=text_col, **options), "found")
+    key = [F.col(id_col).alias("_n_id"), F.col("text_hash").alias("_n_h")]
+    gone = found.where(F.col(id_col).isNotNull() & ((F.col(id_col) != F.col("class_id")) | (F.col("text_hash") != F.col("class_hash")))).select(*key)
+    again = found.where(F.col(id_col).isNotNull()).groupBy(*key).agg(F.count("*").alias("_n_c")).where("_n_c > 1").select("_n_id", "_n_h")
+    gone, again = stored(gone.distinct(), "gone"), stored(again, "again")
+    on = (F.col(id_col) == F.col("_n_id")) & (F.xxhash64(text_col) == F.col("_n_h"))
+    small = lambda t: F.broadcast(t) if t.count() <= 200_000 else t
+    kept = docs.join(small(gone), on, "left_anti")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    repeated = kept.join(again, on, "left_semi").withColumn("_n_h", F.xxhash64(text_col)).dropDuplicates([id_col, "_n_h"]).drop("_n_h")
+    return kept.join(again, on, "left_anti").unionByName(repeated)

@@ -95,6 +95,40 @@ def test_jaccard_join_recall_of_split_buckets(spark):
     assert got <= 4 and jaccard_join.runs_for(0.9999, 1) == 10 and jaccard_join.runs_for(0.9999, 3) == 20
 
 
+def test_jaccard_join_recall_in_a_group_at_the_threshold(spark):
+    """700 copies with four of eight places changed each: links of similarity near 0.8 in buckets far over the limit."""
+    rng = random.Random(11)
+    base, rows = [f"b{i}" for i in range(400)], []
+    for i in range(700):
+        w = list(base)
+        for place in rng.sample(range(20, 400, 48), 4):
+            w[place] = f"x{i}_{place}"
+        rows.append((i, " ".join(w)))
+    member = np.zeros((700, 396 + 700 * 20), np.int32)
+    names: dict = {}
+    for i, t in rows:
+        for s in _set(t):
+            member[i, names.setdefault(s, len(names))] = 1
+    both = member @ member.T
+    size = both.diagonal()
+    link = 10 * both >= 8 * (size[:, None] + size[None, :] - both)
+    want = link.sum() - 700
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert 100_000 < want and sum(r.n_links for r in got) >= 0.9999 * want and all(r.n_links <= link[r.doc_id].sum() - 1 for r in got)
+
+
+def test_texts_that_share_an_id(spark):
+    """Rows of one id with different texts are different documents; equal rows are one; no text goes without a survivor."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(7, b), (7, a), (8, b), (1, a), (1, a), (2, a), (5, a + " word"), (None, a), (9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_n_c", F.lit(1))
+    kept = [(r.doc_id, r.text) for r in jaccard_join.first_of_groups(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(7, b), (1, a), (None, a), (9, None), (10, "")], key=str)
+    found = {(r.doc_id, r.text_hash): r for r in jaccard_join.jaccard_join(docs).collect()}
+    assert sum(r.n_links for r in found.values()) == 4 and len(found) == 9
+    assert jaccard_join.first_of_groups(docs).columns == docs.columns and jaccard_join.first_of_groups(docs.where("false")).count() == 0
+
+
 def test_intersections_by_shares():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(-40, 40, n)) for n in (0, 5, 30, 60, 60)]
