@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of equal or linked documents, the one with the smallest doc_id stays."""
-    return _without(docs, jaccard_join.jaccard_join(docs).where("doc_id != class_id"))
+    """Of each group of equal or linked documents, the one with the smallest doc_id (and text hash, on ties) stays."""
+    return jaccard_join.first_of_groups(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
