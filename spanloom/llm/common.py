@@ -61,6 +61,11 @@ class Scratch:
         self.tables.append(stored(df, name))
         return self.tables[-1]
 
+    def also(self, table: DataFrame) -> DataFrame:
+        """Takes over a table that was stored elsewhere."""
+        self.tables.append(table)
+        return table
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """Stores the result and deletes all tables before it."""
         out = stored(df, name)

@@ -1,12 +1,16 @@
-"""Mixing sources to target weights by the cube method (Deville and Tille, 2004; fast flight of Chauvet and Tille, 2006).
+"""Mixing sources to target weights by the cube method (Deville and Tille, 2004).
 
 A source's target over its size is how often each of its documents is taken on average. The whole part is taken
-outright; the rest is one inclusion probability, which the cube method turns into 0 or 1 for each document: among
-three undecided documents there is a direction along which probabilities move without changing the expected number of
-words or of documents (the null space of the two constraints), and a move ends when one of them is decided. Blocks
-of a source fly apart from each other; what each leaves undecided (two documents) flies on in blocks of leftovers,
-until a source has one block left. That block lands: long documents first, class by class of sizes; a class flies, then
-drops the document count, then decides its last document by its probability, and later classes make up for its words.
+outright; the rest is one inclusion probability, which the cube method turns into 0 or 1 for each document: the
+probabilities of the undecided documents move along a direction that changes neither the expected number of words nor
+that of documents (the null space of the two constraints), and a move ends when a document is decided. The
+direction is the projection of the largest undecided document onto that space: it is decided early, while many others
+share what it is off, and what stays undecided at the end are the shortest documents.
+
+Blocks of a source fly apart from each other, all under both constraints; what each leaves undecided (at most two
+documents) flies on in blocks of leftovers, until a source has one block left. Only what that leaves is landed: of two
+documents one is taken, by their probabilities, which keeps the number of documents; a last one by its own. The last block is drawn
+again while a document that no others can make up for leaves it off its totals (rejective sampling).
 
 Defined results: null and blank texts have size 0; a null source is a source, ordered last; rows with equal or null
 doc_id are documents of their own; an empty table gives an empty result; other columns are not looked at. The random
@@ -21,85 +25,114 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WORD, join_bounded, stored, text_of
+from spanloom.llm.common import WORD, Scratch, text_of
 
-WEIGHTS, CAP, BLOCK, FAN = (1, 2, 3), 3, 4096, 1024
+WEIGHTS, CAP, BLOCK, FAN = (1, 2, 3), 3, 1024, 512
+#: A landing is drawn anew, at most so often, while it is off by more than this share of the words or this many documents.
+DRAWS, WORDS_OFF, DOCS_OFF = 64, 0.001, 1.0
 
 
 def word_count(text: str | Column = "text") -> Column:
     return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, str | Column], keep) -> DataFrame:
+    """``df`` with columns of the sums over all rows before each row by ``order``, without gathering rows in one task.
+
+    Rows are sorted into ranges and stored; a row's sum is that of the ranges before (one row a range) and that in its range.
+    """
+    cut = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    cut = keep(cut, "ranges")
+    totals = cut.groupBy("_part").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = totals.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.join(F.broadcast(bases), "_part").withColumns({k: F.col(f"_b_{k}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()})
+    return cut.drop("_part", *[f"_b_{k}" for k in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, n, source_size, target) from rows of (source, size).
+    """(source, n, source_size, target) from rows of (source, size); the table is stored.
 
     Targets are the smaller of ``cap`` times the size and a common level times the weight. Sources are taken in
     the order of the level at which they reach their cap; the level is what the capped ones before leave, by weight.
     """
+    keep = Scratch()
+    by_name = [F.col("source").asc_nulls_last()]
     per = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    # One row a source from here on.
-    place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    per = per.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (place + 1).cast("int")))
+    per = _running(per, by_name, {"place": F.lit(1)}, keep)
+    per = per.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")))
     per = per.withColumn("full", F.lit(cap) * F.col("source_size")).withColumn("at", F.col("full") / F.col("w"))
-    by = Window.orderBy("at", F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    per = per.withColumn("before", F.coalesce(F.sum("full").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per = per.withColumn("left_w", F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    per = per.withColumn("level", (F.sum("source_size").over(every) - F.col("before")) / F.col("left_w"))
-    # The first source whose cap is above the level that is left for it and those after it sets the level of them all.
-    per = per.withColumn("free", F.col("at") > F.col("level"))
-    per = per.withColumn("final", F.min(F.when(F.col("free"), F.struct("at", F.col("source").isNull().alias("last"), F.col("source").alias("s"), "level"))).over(every)["level"])
-    target = F.when(F.col("final").isNull() | (F.col("at") <= F.col("final")), F.col("full").cast("double")).otherwise(F.col("w") * F.col("final"))
-    return per.select("source", "n", "source_size", target.alias("target"))
-
-
-def fly(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """The probabilities after the flight; at most two stay undecided, none if it lands."""
-    p = p.copy()
-    eps = 1e-9
-    undecided = [i for i in range(len(p)) if eps < p[i] < 1 - eps]
-    p[p <= eps] = 0.0
-    p[p >= 1 - eps] = 1.0
-    for k in (3, 2, 1) if land else (3,):  # constraints: words and documents; words; none
-        held: list[int] = []
-        rest = iter(undecided)
-        draws = iter(rng.random(2 * len(undecided) + 4))
-        while True:
-            while len(held) < k and (i := next(rest, None)) is not None:
-                held.append(i)
-            if len(held) < k:
-                break
-            if k == 3:
-                a, b, c = (sizes[i] for i in held)
-                u = (b - c, c - a, a - b) if not a == b == c else (1.0, -1.0, 0.0)
-            elif k == 2:
-                a, b = (sizes[i] for i in held)
-                u = (b, -a) if a or b else (1.0, -1.0)
-            else:
-                u = (1.0,)
-            up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(held, u, strict=True) if x)
-            down = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip(held, u, strict=True) if x)
-            step = up if next(draws) * (up + down) < down else -down
-            for i, x in zip(held, u, strict=True):
-                q = p[i] + step * x
-                p[i] = 0.0 if q < eps else 1.0 if q > 1 - eps else q
-            held = [i for i in held if 0 < p[i] < 1]
-        undecided = held
+    per = keep(_running(per, [F.col("at"), *by_name], {"before": F.col("full"), "before_w": F.col("w")}, keep), "levels")
+    whole, every_w = per.agg(F.sum("source_size"), F.sum("w")).first()
+    per = per.withColumn("level", (F.lit(whole or 0) - F.col("before")) / (F.lit(every_w or 1) - F.col("before_w")))
+    # The first source whose cap is above the level that is left for it sets the level of it and of all after it.
+    final = per.where(F.col("at") > F.col("level")).agg(F.min(F.struct("at", F.col("source").isNull(), "source", "level"))["level"].alias("final")).first()["final"]
+    target = F.col("full").cast("double") if final is None else F.when(F.col("at") <= final, F.col("full").cast("double")).otherwise(F.col("w") * F.lit(final))
+    return keep.result(per.select("source", "n", "source_size", target.alias("target")), "targets")
+
+
+EPSILON = 1e-9
+
+
+def fly(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The probabilities after the flight, for sizes in falling order; at most two stay undecided.
+
+    A move takes the largest undecided document ``i`` that can move and the direction ``e_i - w * (a + b * size)``, with ``a``
+    and ``b`` such that it sums to nothing over documents and over words.
+    """
+    p = np.where(p <= EPSILON, 0.0, np.where(p >= 1 - EPSILON, 1.0, p))
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    q, x = p[open_], sizes[open_].astype(np.float64)
+    while len(open_) > 2:
+        # Long documents give way more than short ones, which are thus there to the end.
+        w = (x / max(x[0], 1.0)) ** 2 + 1e-3
+        whole = w.sum()
+        mean = (w @ x) / whole
+        off = x - mean
+        spread = (w * off) @ off
+        ratio = off / spread if spread > 1e-12 * whole * (1 + mean * mean) else np.zeros(len(x))
+        # How far each document's own probability moves in its direction: nothing if it alone carries all differences of size.
+        i = int(np.argmax(1 - w * (1 / whole + off * ratio) > 1e-6))
+        u = -w * (1 / whole + off * ratio[i])
+        u[i] += 1.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min()
+            down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min()
+        q = q + (up if rng.random() * (up + down) < down else -down) * u
+        done = (q <= EPSILON) | (q >= 1 - EPSILON)
+        p[open_[done]] = np.round(q[done])
+        open_, q, x = open_[~done], q[~done], x[~done]
+    p[open_] = q
     return p
 
 
 def land(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flies and lands long documents first, by halves of the size; the words each class is off by move the later ones' probabilities."""
-    p, asked = p.copy(), p.copy()
-    level = np.floor(np.log2(np.maximum(sizes, 1)))
-    for v in np.unique(level)[::-1]:
-        now, later = level == v, level <= v
-        words = sizes[later].sum()
-        off = ((p - asked) * sizes)[~later].sum()
-        if words:
-            p[later] = np.clip(asked[later] - off / words, 0, 1)
-        p[now] = fly(sizes[now], p[now], rng, True)
-    return p
+    """Decides the last undecided documents: two at a time against each other, which keeps the number of documents."""
+    p = p.copy()
+    while len(open_ := np.flatnonzero((p > EPSILON) & (p < 1 - EPSILON))):
+        if len(open_) == 1:
+            p[open_[0]] = float(rng.random() < p[open_[0]])
+            break
+        a, b = open_[-2:]
+        up, down = min(1 - p[a], p[b]), min(p[a], 1 - p[b])
+        step = up if rng.random() * (up + down) < down else -down
+        p[a], p[b] = p[a] + step, p[b] - step
+    return np.round(p)
+
+
+def drawn(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A flight and landing of a whole block: the first one near both totals, else the nearest of ``DRAWS``."""
+    words, n = max(p @ sizes, 1.0), p.sum()
+    best, least = p, np.inf
+    for _ in range(DRAWS):
+        out = land(sizes, fly(sizes, p, rng), rng)
+        off = max(abs(out @ sizes - p @ sizes) / words / WORDS_OFF, abs(out.sum() - n) / DOCS_OFF)
+        if off < least:
+            best, least = out, off
+        if off <= 1:
+            break
+    return best
 
 
 def _flight(block: pd.DataFrame) -> pd.DataFrame:
@@ -109,14 +142,15 @@ def _flight(block: pd.DataFrame) -> pd.DataFrame:
     seed = xxhash.xxh3_64_intdigest(f"{first['source'] is None}:{first['source']}:{first['round']}:{first['block']}")
     sizes = block["size"].to_numpy(np.float64)
     p, rng = block["p"].to_numpy(np.float64), np.random.default_rng(seed)
-    block["p"] = land(sizes, p, rng) if first["blocks"] <= 1 else fly(sizes, p, rng, False)
+    block["p"] = drawn(sizes, p, rng) if first["blocks"] <= 1 else fly(sizes, p, rng)
     return block
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id_col, size, source_size, target, copies, taken) for each row of ``docs``."""
-    sizes = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_of(text_col)).alias("h")), "sizes")
-    targets = stored(source_targets(sizes, weights, cap), "targets").withColumnRenamed("source", "s")
+    keep = Scratch()
+    sizes = keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_of(text_col)).alias("h")), "sizes")
+    targets = keep.also(source_targets(sizes, weights, cap)).withColumnRenamed("source", "s")
     n = targets.count()
     joined = (sizes.join(F.broadcast(targets) if n <= 50_000 else targets, F.col("source").eqNullSafe(F.col("s")), "left")).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -131,7 +165,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     while b > 1:
         rounds, b = rounds + 1, -(-b // FAN)
     for r in range(rounds):
-        flown = stored(open_.groupBy("source", "blocks", "block").applyInPandas(_flight, schema), "flown")
+        flown = keep(open_.groupBy("source", "blocks", "block").applyInPandas(_flight, schema), "flown")
         decided = (F.col("p") == 0) | (F.col("p") == 1)
         settled.append(flown.where(decided))
         open_ = flown.where(~decided).withColumn("blocks", F.ceil(F.col("blocks") / FAN).cast("long")).withColumn("block", F.floor(F.col("block") / FAN).cast("long")).withColumn("round", F.lit(r + 1))
@@ -139,16 +173,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     for s in settled[1:]:
         out = out.unionByName(s)
     copies = F.col("whole") + F.col("p").cast("long")
-    return out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return keep.result(out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")), "mix")
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    taken = mix_sources(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows"))
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
+
+    Texts are shuffled once, by id and size; rows that share both share their copies, and the first ones by the hash of the
+    text get what does not divide.
+    """
     text = options.get("text_col", "text")
-    joined = docs.withColumn("_mix_words", word_count(text)).join(taken, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")))
-    # Rows that share id and size share their copies: the first ones get what does not divide.
-    place = F.when(F.col("_mix_rows") > 1, F.row_number().over(Window.partitionBy("_mix_id", "_mix_size").orderBy(F.xxhash64(text)))).otherwise(F.lit(1))
-    joined = joined.withColumn("_mix_place", place)
+    key = lambda size: F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("none")), size).alias("_mix_key")
+    taken = mix_sources(docs, id_col=id_col, **options).groupBy(key(F.col("size"))).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows")).where("_mix_copies > 0")
+    joined = docs.select("*", key(word_count(text))).join(taken, "_mix_key")
+    # One key of the join and the window: the rows are dealt out once.
+    place = F.row_number().over(Window.partitionBy("_mix_key").orderBy(F.xxhash64(text)))
     own = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (F.col("_mix_place") <= F.col("_mix_copies") % F.col("_mix_rows")).cast("long")
-    return joined.where(own > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), own))).select(*docs.columns)
+    joined = joined.withColumn("_mix_place", place).withColumn("_mix_own", own).where("_mix_own > 0")
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_own")))).select(*docs.columns)
