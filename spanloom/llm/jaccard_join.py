@@ -33,6 +33,8 @@ from spanloom.llm.components import connected_components
 from spanloom.llm.kernels import mix, shingle_sets
 
 THRESHOLD, TARGET_RECALL, BUCKET, DEPTH, BLOCK = 0.8, 0.9999, 256, 3, 1024
+#: Keys of 16 bytes that are broadcast to find their texts; more are shuffled with the texts.
+KEYS = 500_000
 #: Values that are intersected at once, about.
 VALUES = 4_000_000
 
@@ -227,11 +229,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
     def with_text(wanted: DataFrame, count: int, limit: int) -> DataFrame:
         """``wanted`` (rep, ...) with the text of each class, which is the only row of its id and hash or one of equal rows."""
         named = wanted.join(classes.select("rep", "rep_id", "rep_hash"), "rep")
+        # Where the keys are few enough, texts of other classes stay where they are.
+        held = join_bounded(sources, named.select("rep_id", "rep_hash"), ["rep_id", "rep_hash"], "left_semi", count, KEYS) if limit < count <= KEYS else sources
         if not n_repeated:
-            return join_bounded(sources, named, ["rep_id", "rep_hash"], "inner", count, limit)
+            return join_bounded(held, named, ["rep_id", "rep_hash"], "inner", count, limit)
         again = join_bounded(named, repeated, ["rep_id", "rep_hash"], "left_semi", n_repeated)
         once = join_bounded(named, repeated, ["rep_id", "rep_hash"], "left_anti", n_repeated)
-        met = [join_bounded(sources, x, ["rep_id", "rep_hash"], "inner", count, limit) for x in (once, again)]
+        met = [join_bounded(held, x, ["rep_id", "rep_hash"], "inner", count, limit) for x in (once, again)]
         return met[0].unionByName(met[1].dropDuplicates(["rep"]))
 
     level = classes.select(F.explode("keys").alias("key"), "rep", "n")
@@ -240,7 +244,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
         level = stored(level, "paths")
         used.append(level)
         total = level.count()
-        sums = level.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y")).where("c > 1")
+        sums = level.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y")).where("c > 1")
         large = sums.where(F.col("c") > bucket)
         # Buckets of the same classes are compared once.
         once = (sums if d == depth else sums.where(F.col("c") <= bucket)).groupBy("c", "x", "y").agg(F.min("key").alias("key"))
@@ -263,7 +267,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
     # Small leaves: a class with no other of a size that allows the threshold goes (lossless).
     near = F.expr(f"filter(m, x -> exists(m, y -> y.rep != x.rep and least(x.n, y.n) * 1000 >= {round(threshold * 1000)} * greatest(x.n, y.n)))")
     small = leaves.where(F.col("c") <= bucket).groupBy("leaf", "c").agg(F.collect_list(F.struct("n", "rep")).alias("m"))
-    small = small.select("leaf", "c", F.explode(near).alias("x")).select("leaf", "c", "x.rep")
+    small = small.select("leaf", F.array_sort(F.array_distinct(F.transform(near, lambda x: x["rep"]))).alias("m")).where("size(m) > 1")
+    # Leaves with the same first class are mostly one group seen in several runs: they are compared as one where that is no
+    # more than twice the largest of them. Every pair of a leaf is a pair of the group.
+    groups = small.groupBy(F.col("m")[0].alias("a")).agg(F.collect_list(F.struct("leaf", "m")).alias("own"), F.max(F.size("m")).alias("most"))
+    groups = groups.withColumn("all", F.array_distinct(F.flatten("own.m")))
+    merged = F.when(F.size("all") <= 2 * F.col("most"), F.array(F.struct(F.array_min("own.leaf").alias("leaf"), F.col("all").alias("m")))).otherwise(F.col("own"))
+    small = groups.select(F.explode(merged).alias("x")).select("x.leaf", F.size("x.m").cast("long").alias("c"), F.explode("x.m").alias("rep"))
     pairs = stored(small.unionByName(leaves.where(F.col("c") > bucket).select("leaf", "c", "rep")), "pairs")
     drop_stored(leaves)
     involved = pairs.groupBy("rep").agg(F.collect_set("leaf").alias("leaves"))
@@ -277,8 +287,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
     found = placed.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInArrow(_brute(threshold), "rep long, links long, root long")
     found = keep(found, "links")
     drop_stored(pairs)
-    groups = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    linked = found.groupBy("rep").agg(F.sum("links").alias("n_links")).join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    linked = found.groupBy("rep").agg(F.sum("links").alias("n_links")).join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
     linked = keep(linked.join(classes.select("rep", "rep_id", "rep_hash"), "rep"), "groups")
     firsts = linked.groupBy("component").agg(F.min(F.struct("rep_id", "rep_hash")).alias("top"))
     named = linked.select("rep", "n_links", "component").join(firsts, "component").select("rep", "n_links", "top")

@@ -211,14 +211,46 @@ def test_mixture(docs, none):
     assert mixture.mixed_rows(docs).count() == sum(r.copies for r in got) and mixture.mix_sources(none).count() == 0
 
 
+def test_mixture_of_rows_that_share_ids(spark):
+    rows = [(None, f"w{i} " * 5, "a") for i in range(30)] + [(4, "x y z", "b")] * 9 + [(5, "one " * 400, "b"), (6, None, None), (7, "", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixture.mix_sources(docs).collect()
+    mixed = mixture.mixed_rows(docs).collect()
+    assert len(got) == len(rows) and len(mixed) == sum(r.copies for r in got)
+    for i, size in ((4, 3), (None, 5)):
+        assert sum(r.doc_id == i for r in mixed) == sum(r.copies for r in got if r.doc_id == i and r["size"] == size)
+
+
 def test_cube_balances():
     rng = np.random.default_rng(1)
-    sizes, p = rng.integers(1, 2000, 4000).astype(float), np.full(4000, 0.37)
-    out = mixture.fly(sizes, p, np.random.default_rng(2), False)
-    assert ((out > 0) & (out < 1)).sum() <= 2
-    assert abs((out * sizes).sum() - (p * sizes).sum()) < 1e-3 and abs(out.sum() - p.sum()) < 1e-6
-    landed = mixture.land(sizes, p, np.random.default_rng(2))
-    assert set(np.unique(landed)) <= {0.0, 1.0} and abs((landed * sizes).sum() / (p * sizes).sum() - 1) < 0.001
+    for n in (5, 50, 500, 4000):
+        sizes = np.sort(np.exp(rng.normal(5, 1.2, n)).astype(int) + 1.0)[::-1]
+        p = np.full(n, 0.37)
+        out = mixture.fly(sizes, p, np.random.default_rng(2))
+        assert ((out > 0) & (out < 1)).sum() <= 2 and ((out >= 0) & (out <= 1)).all()
+        assert abs((out * sizes).sum() - (p * sizes).sum()) < 1e-3 and abs(out.sum() - p.sum()) < 1e-6
+        landed = mixture.land(sizes, out, np.random.default_rng(2))
+        assert set(np.unique(landed)) <= {0.0, 1.0} and abs(landed.sum() - p.sum()) <= 1
+    equal = mixture.fly(np.full(9, 4.0), np.full(9, 0.5), np.random.default_rng(3))
+    assert ((equal > 0) & (equal < 1)).sum() <= 2 and abs(equal.sum() - 4.5) < 1e-9
+    alone = mixture.fly(np.array([9.0, 1, 1, 1]), np.full(4, 0.5), np.random.default_rng(3))
+    assert ((alone > 0) & (alone < 1)).sum() <= 2 and abs(alone.sum() - 2) < 1e-9
+
+
+def test_cube_keeps_probabilities():
+    """Over many draws each document is taken as often as its probability says."""
+    sizes, p = np.array([60.0, 31, 30, 14, 9, 7, 4, 2, 1]), np.array([0.3, 0.7, 0.5, 0.2, 0.9, 0.4, 0.6, 0.5, 0.1])
+    mean = np.mean([mixture.land(sizes, mixture.fly(sizes, p, np.random.default_rng(k)), np.random.default_rng(k + 10**6)) for k in range(6000)], axis=0)
+    assert np.abs(mean - p).max() < 0.03
+
+
+@pytest.mark.parametrize(("sf", "block"), [("sf0.01", 1024), ("sf0.1", 128)])
+def test_mixture_is_near_its_totals(spark, sf, block):
+    """Words within half a percent and documents within two of what is expected of each source, in one block or many."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = mixture.mix_sources(docs, block=block).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("source_size").alias("size"), F.first("target").alias("target"), F.sum("taken").alias("words"), F.sum("copies").alias("docs"), F.count("*").alias("n"), F.max(F.col("taken") / F.greatest("size", F.lit(1))).alias("most"))
+    for r in got.collect():
+        assert abs(r.words - r.target) <= 0.005 * r.target and abs(r.docs - r.n * r.target / r["size"]) <= 2 and r.most <= 3, r
 
 
 def test_warc(spark):
@@ -304,6 +336,92 @@ def test_quality_of_a_group_with_two_fifths_junk(spark):
     assert [r.doc_id for r in got if r.kept != (r.doc_id % 5 >= 2)] == []
 
 
+def _verdicts(rows, starts=300):
+    """Kept ids by brute force: the least determinant over many random cores, with the operator's prior and floors."""
+    rng = np.random.default_rng(0)
+    share = lambda a, b: np.sqrt(a / max(b, 1))
+    vec = lambda r: np.round(np.array([np.log(max(r.word_chars, 1) / max(r.n_words, 1)), share(r.n_symbols, r.word_chars), share(r.n_dup_lines, r.lines), share(r.n_repeat_words, r.n_words)]) * 1024) / 1024
+    lower = lambda a: np.sort(a, axis=0)[(len(a) - 1) // 2]
+    sound = [r for r in rows if not r.base_failed]
+    every = np.array([vec(r) for r in sound])
+    m0 = lower(every)
+    v0 = (1.4826 * lower(np.abs(every - m0))) ** 2
+
+    def fit(core):
+        n, k = len(core), quality.PRIOR
+        cov = np.cov(core.T, bias=True) * quality.SPREAD * n / (n + k)
+        return (n * core.mean(axis=0) + k * m0) / (n + k), cov + np.diag(k / (n + k) * v0 + np.square(quality.FLOORS))
+
+    def d2(x, f):
+        y = x - f[0]
+        return (y @ np.linalg.inv(f[1]) * y).sum(axis=1)
+
+    kept = set()
+    for g in {(r.lang, r.source) for r in sound}:
+        own = [r for r in sound if (r.lang, r.source) == g]
+        x = np.array([vec(r) for r in own])
+        h = (len(x) + 5) // 2
+        best = None
+        for _ in range(starts):
+            f = fit(x[rng.choice(len(x), max(2, len(x) // 2), replace=False)])
+            for _ in range(30):
+                f = fit(x[np.argsort(d2(x, f), kind="stable")[:h]])
+            if best is None or np.linalg.det(f[1]) < np.linalg.det(best[1]):
+                best = f
+        kept |= {r.doc_id for r, d in zip(own, d2(x, best), strict=True) if d <= quality.CUTOFF}
+    return kept
+
+
+def _junk_rows():
+    """Groups of 3 to 160 texts; some have symbols, very long words, repeated lines or repeated windows."""
+    rng, rows = random.Random(8), []
+    for g, n in (("a", 160), ("b", 40), ("c", 12), ("d", 3)):
+        for i in range(n):
+            w = [f"{rng.choice(['calo', 'given', 'forest', 'bume'])}{rng.randrange(10**4)}" for _ in range(60)]
+            lines = [" ".join(w[k : k + 10]) for k in range(0, 60, 10)]
+            if i % 12 == 3:
+                lines = [x.replace(" ", "#$% ") for x in lines]
+            if i % 12 == 5:
+                lines = [x.replace(" ", "longest" * 4 + " ") for x in lines]
+            if i % 12 == 7:
+                lines = [*lines, *["so"] * 40]
+            if i % 12 == 9:
+                lines = [*lines, " ".join(f"{a} then again" for a in "xyz" * 12)]
+            rows.append((len(rows), "\n".join(lines), "en", g))
+    return rows
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    rows = _junk_rows()
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    lines = {i: len([x for x in t.split("\n") if _words(x)]) for i, t, _, _ in rows}
+    meta = {i: (g, s) for i, _, g, s in rows}
+    found = [type("R", (), {**r.asDict(), "lines": lines[r.doc_id], "lang": meta[r.doc_id][0], "source": meta[r.doc_id][1]}) for r in got.collect()]
+    want = _verdicts(found)
+    assert {r.doc_id for r in found if r.kept} == want and 0.6 * len(rows) < len(want)
+    gone = {i % 12 for i in range(160)} - {i % 12 for i in want if i < 160}
+    assert gone == {3, 5, 7, 9}, gone
+
+
+def test_repeated_words_under_colliding_hashes(spark, monkeypatch):
+    """With four bits of hash left, different windows share them; the counts stay exact."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 3, 4, 40, 300)] + [" ".join(f"w{rng.randrange(200)}" for _ in range(2000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        w = _words(t)
+        c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        m = [False] * len(w)
+        for k, g in enumerate(zip(w, w[1:], w[2:], strict=False)):
+            if c[g] > 1:
+                m[k : k + 3] = [True] * 3
+        want[i] = sum(m)
+    for place in (22, 60, 62, 8):  # 8: longer texts take the way of very long ones
+        monkeypatch.setattr(quality, "PLACE", place)
+        assert {r.doc_id: r.n_repeat_words for r in quality.base_counts(docs).collect()} == want, place
+
+
 def test_pii(docs, none):
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
     r = got[14]
