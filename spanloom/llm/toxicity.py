@@ -6,17 +6,18 @@ enough falls back on one shared distribution after three characters: continuatio
 characters that come before, over all documents, labelled or not. Because both models share it, an expression that
 neither class has seen tells nothing, and a rare one little.
 
-A text's evidence is the difference of its log-likelihoods per character. A logistic curve, fitted on sampled
-documents that the model it is fitted with has not seen (two folds), turns the evidence, the number of words and how
-many of them are evidence by themselves, at three levels of strength, into a score of 0 to 1.
-Labels of held-out documents are never read; labels, lang, source and doc_id are no inputs of a score.
+A toxic text is mostly ordinary words. Beside the length-normalised difference of the two log-likelihoods, its evidence is
+thus the log-likelihood ratio of a mixture, in which each word comes from the toxic model with a small share and else
+from the ordinary one. A logistic curve of these two, fitted on sampled documents that the model they are scored with has
+not seen (``FOLDS`` folds), gives a score of 0 to 1; of the shares in ``SHARES`` the one with the least loss on folds that the
+curve has not seen is taken. Labels of held-out documents are never read; labels, lang, source and doc_id are no inputs of a score.
 
-Bounds: ``sample`` documents a class, those with the smallest hashes of their ids. Continuation counts are kept for
-contexts that the sample has.
+Bounds: ``sample`` documents a class, those with the smallest hashes of their ids, and of these as many as hold ``chars``
+characters. Continuation counts are kept for contexts that the sample has.
 
 Defined results: null and blank texts have evidence 0 and still get a score; without labels of both classes the score is
 the smoothed share of toxic labels; null doc_ids are scored and never held out; documents with more than one label use the
-largest; repeated rows get a row each; other columns are not looked at.
+largest, labelled ids with several texts the smallest text; repeated rows get a row each; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,19 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stored, text_of
+from spanloom.llm.common import Scratch, text_of
 from spanloom.llm.kernels import gram_hashes, mix, split_words
 
 ORDER, SAMPLE, CUT = 5, 2500, 0.7
 #: Characters a word may continue with, for the uniform share at the end of the fallback.
 ALPHABET = 256
-#: A word whose own difference is above one of these is strong evidence of that level.
-STRONG = (4.0, 7.0, 10.0)
-COUNTS = [f"strong{i}" for i in range(len(STRONG))]
-SCORED = "id long, evidence double, score double, words long, " + ", ".join(f"{c} long" for c in COUNTS)
+#: Characters of the sampled documents of a class; folds of the sample; shares of toxic words to choose from.
+SAMPLE_CHARS, FOLDS, SHARES = 12_000_000, 4, (0.1, 0.01, 0.001, 0.0001)
+MIXED = [f"mixed{i}" for i in range(len(SHARES))]
+SCORED = "id long, evidence double, score double, " + ", ".join(f"{c} double" for c in MIXED)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -161,21 +162,34 @@ class Model:
         return np.bincount(word, own, len(words)), np.bincount(word, minlength=len(words)).astype(float)
 
 
-def _evidence(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(difference per character, words, words at each level of STRONG evidence) of each text."""
+def _evidence(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(difference per character, log-likelihood ratio of the mixture of each share) of each text."""
     offsets, words, place = _distinct(texts)
     own, chars = model.evidence(words) if words else (np.zeros(0), np.zeros(0))
-    sums = np.concatenate([[0.0], np.cumsum(own[place])])
-    size = np.concatenate([[0.0], np.cumsum(chars[place])])
-    strong = np.stack([np.diff(np.concatenate([[0], np.cumsum(own[place] > level)])[offsets]) for level in STRONG])
-    total, length = np.diff(sums[offsets]), np.diff(size[offsets])
-    return total / np.maximum(length, 1), np.diff(offsets), strong
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    # A text's words are added up in their order: its sums do not depend on the texts beside it.
+    sums = lambda x: np.bincount(doc, x[place], len(offsets) - 1)
+    mixed = np.stack([sums(np.logaddexp(np.log1p(-e), np.log(e) + own)) for e in SHARES])
+    return sums(own) / np.maximum(sums(chars), 1), mixed
 
 
-def features(evidence: np.ndarray, words: np.ndarray, strong: np.ndarray) -> np.ndarray:
-    root = np.sqrt(np.minimum(words, 10_000) / 100)
-    shares = np.minimum(strong / np.maximum(words, 1), 0.1) * 50
-    return np.stack([np.ones(len(words)), evidence * 10, evidence * root * 10, np.log1p(words) / 5, *np.log1p(strong), *shares], axis=1)
+def features(evidence: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(evidence)), evidence * 10, np.clip(mixed, -30, 30) / 5], axis=1)
+
+
+def _logistic(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+
+
+def _chosen_share(fitted: pd.DataFrame, y: np.ndarray, weight: np.ndarray) -> int:
+    """The share whose curve, fitted on the other folds, has the least loss."""
+    fold, losses = fitted["fold"].to_numpy(), []
+    for c in MIXED:
+        x, p = features(fitted["evidence"].to_numpy(), fitted[c].to_numpy()), np.zeros(len(y))
+        for k in np.unique(fold):
+            p[fold == k] = _logistic(x[fold == k], fit_logistic(x[fold != k], y[fold != k], weight[fold != k]))
+        losses.append(-(weight * np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-6, 1))).sum())
+    return int(np.argmin(losses))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -191,14 +205,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-
     return beta
 
 
-def _scored(model: Model, beta: np.ndarray):
+def _scored(model: Model, beta: np.ndarray, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                evidence, words, strong = _evidence(part.column(1), model)
-                score = 1 / (1 + np.exp(-np.clip(features(evidence, words, strong) @ beta, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(evidence), pa.array(score), pa.array(words), *map(pa.array, strong)], names=["id", "evidence", "score", "words", *COUNTS])
+                evidence, mixed = _evidence(part.column(1), model)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(evidence), pa.array(_logistic(features(evidence, mixed[share]), beta)), *map(pa.array, mixed)], names=["id", "evidence", "score", *MIXED])
 
     return run
 
@@ -209,10 +222,10 @@ def _broadcast_map(spark, make, *parts):
     return lambda batches: make(*sent.value)(batches)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id_col, held_out, evidence, score, predicted) for each row of ``docs``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    spark, keep = docs.sparkSession, Scratch()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(~held_out("id"))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -221,8 +234,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: floa
         own = known.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = own if picked is None else picked.unionByName(own)
     # At most 2 * sample ids.
-    picked = rows.join(F.broadcast(picked), "id").dropDuplicates(["id"]).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)))
-    picked = stored(picked, "sample")
+    picked = rows.join(F.broadcast(picked), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.length(text_of("text"))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
+    picked = keep(picked.withColumn("upto", upto).where(F.col("upto") <= chars).drop("upto").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS))), "sample")
     counted = picked.select("toxic", "fold", F.explode(F.split(text_of("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''").groupBy("word", "toxic", "fold").agg(F.count("*").alias("n"))
     words = counted.toArrow().to_pandas()
     if set(totals) != {0, 1} or words["toxic"].nunique() < 2:
@@ -235,16 +249,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: floa
     shared = continued.join(F.broadcast(wanted), "middle", "left_semi").toArrow().to_pandas()
 
     fitted = []
-    for fold in (0, 1):
-        model = Model(words[words["fold"] == 1 - fold].reset_index(drop=True), shared)
-        got = picked.where(F.col("fold") == fold).select("id", "text").mapInArrow(_broadcast_map(spark, _scored, model, np.zeros(4 + 2 * len(STRONG))), SCORED)
-        fitted.append(got.join(picked.select("id", "toxic"), "id").toArrow().to_pandas())
+    for fold in range(FOLDS):
+        model = Model(words[words["fold"] != fold].groupby(["word", "toxic"], as_index=False)["n"].sum(), shared)
+        got = picked.where(F.col("fold") == fold).select("id", "text").mapInArrow(_broadcast_map(spark, _scored, model, np.zeros(3), 0), SCORED)
+        fitted.append(got.join(picked.select("id", "toxic", "fold"), "id").toArrow().to_pandas())
     fitted = pd.concat(fitted).sort_values("id")
     y = fitted["toxic"].to_numpy(np.float64)
     weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
-    beta = fit_logistic(features(fitted["evidence"].to_numpy(), fitted["words"].to_numpy(), fitted[COUNTS].to_numpy().T), y, weight / weight.mean())
+    weight /= weight.mean()
+    share = _chosen_share(fitted, y, weight)
+    beta = fit_logistic(features(fitted["evidence"].to_numpy(), fitted[MIXED[share]].to_numpy()), y, weight)
     model = Model(words.groupby(["word", "toxic"], as_index=False)["n"].sum(), shared)
-    return _named(rows.mapInArrow(_broadcast_map(spark, _scored, model, beta), SCORED), cut, id_col)
+    return _named(keep.result(rows.mapInArrow(_broadcast_map(spark, _scored, model, beta, share), SCORED).select("id", "evidence", "score"), "scores"), cut, id_col)
 
 
 def _named(scored: DataFrame, cut: float, id_col: str) -> DataFrame:
