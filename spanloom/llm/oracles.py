@@ -10,15 +10,15 @@ ORACLES: dict[str, str] = {}
 def license_sql() -> str:
     rows = []
     for name, text in licenses.TEMPLATES.items():
-        own = licenses.shingles(text)
+        k, own = licenses.shingles(text)
         width, step = licenses.window_of(len(own))
-        rows += [f"('{name}', {len(own)}, {width}, {step}, '{s}')" for s in own]
+        rows += [f"('{name}', {k}, {len(own)}, {width}, {step}, '{s}')" for s in own]
     return f"""
-WITH template(license, n, width, step, shingle) AS (VALUES {", ".join(rows)}),
+WITH template(license, k, n, width, step, shingle) AS (VALUES {", ".join(rows)}),
 doc AS (SELECT DISTINCT doc_id, text, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
-place AS (SELECT doc_id, text, w, unnest(generate_series(1, len(w) - 4)) AS i FROM doc),
-gram AS (SELECT doc_id, text, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS shingle FROM place),
-hit AS (SELECT doc_id, text, license, n, width, step, p, gram.shingle FROM gram JOIN template USING (shingle)),
+place AS (SELECT doc_id, text, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM doc CROSS JOIN (SELECT DISTINCT k FROM template) ks),
+gram AS (SELECT doc_id, text, k, i - 1 AS p, array_to_string(w[i:i + k - 1], ' ') AS shingle FROM place),
+hit AS (SELECT doc_id, text, license, n, width, step, p, gram.shingle FROM gram JOIN template USING (k, shingle)),
 wide AS (SELECT doc_id, text, license, n, step, shingle, unnest(generate_series(greatest(0, CAST(ceil((p - width + 1) / step) AS BIGINT)), p // step)) AS k FROM hit),
 held AS (SELECT doc_id, text, license, n, step, k, count(DISTINCT shingle) AS n_shared FROM wide GROUP BY ALL HAVING count(DISTINCT shingle) * 1000 >= n * 800)
 SELECT doc_id, license, max(n_shared) AS n_shared, CAST(any_value(n) AS BIGINT) AS n_shingles, CAST(arg_max(k * step, n_shared * 1000000000 - k * step) AS BIGINT) AS first_word

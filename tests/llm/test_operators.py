@@ -530,12 +530,26 @@ def test_pii_validators(spark):
     assert tuple(row) == (True, False, True, False)
 
 
-def test_licenses(docs, none):
+def test_licenses(spark, docs, none):
     got = licenses.scan_licenses(docs).collect()
     assert [(r.doc_id, r.license, r.n_shared, r.n_shingles) for r in got] == [(15, "Apache-2.0-line", 4, 4)]
     assert licenses.scan_licenses(none).count() == 0
     with pytest.raises(ValueError):
-        licenses.scan_licenses(docs, {"short": "All rights reserved."})
+        licenses.scan_licenses(docs, {"none": " ... "})
+
+
+def test_licenses_short_partial_and_long(spark):
+    rng, t = random.Random(1), licenses.TEMPLATES
+    filler = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
+    mit = t["MIT-text"].split()
+    most, few = mit[: len(mit) * 9 // 10], mit[: len(mit) * 6 // 10]
+    three = t["BSD-2-Clause-text"].replace("THIS SOFTWARE", t["BSD-3-Clause-condition"] + " THIS SOFTWARE")
+    rows = [(1, "x All Rights RESERVED, y"), (2, "all rights were reserved"), (3, filler(300) + " " + " ".join(most) + " " + filler(300)), (4, filler(50) + " ".join(few)), (5, three), (6, t["BSD-2-Clause-text"]),
+            (7, "Released under the MIT License. " * 5000), (8, " ".join(mit) * 40), (9, "reserved " * 30_000 + "all rights reserved"), (None, "All rights reserved.")]
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {1: {"All-rights-reserved-line"}, 3: {"MIT-text"}, 5: {"BSD-2-Clause-text", "BSD-3-Clause-condition"}, 6: {"BSD-2-Clause-text"}, 7: {"MIT-line"}, 8: {"MIT-text"}, 9: {"All-rights-reserved-line"}, None: {"All-rights-reserved-line"}}
 
 
 def test_pipeline(spark):
