@@ -108,7 +108,8 @@ def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, at, lines = uuid.uuid4().hex, None, 0, []
         for batch in batches:
-            for r in batch.to_pylist():
+            # Few records at once are Python objects.
+            for r in (r for low in range(0, batch.num_rows, 64) for r in batch.slice(low, 64).to_pylist()):
                 out = out or writer(f"{folder}/{name}.warc.gz")
                 when = EPOCH + datetime.timedelta(seconds=(r["page_id"] or 0) % 2**31)
                 member = record(r["page_id"], r["url"], when, r["payload"], r["refers_to"])
@@ -272,7 +273,7 @@ def _read(folder: str):
         name, f = None, None
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for r in (r for low in range(0, batch.num_rows, 1000) for r in batch.slice(low, 1000).to_pylist()):
                 if r["archive"] != name:
                     name = r["archive"]
                     system, path = opened(f"{folder}/{name}.warc.gz")
@@ -285,10 +286,16 @@ def _read(folder: str):
     return run
 
 
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """Every record that the merged index names, parsed, with its place in the capture order."""
+def read_archives(index: DataFrame, folder: str, archives: int | None = None) -> DataFrame:
+    """Every record that the merged index names, parsed, with its place in the capture order.
+
+    The index rows are small and the records are not: the number of tasks is that of the archives (counted where it is not
+    given), which keeps the rows from being put into few tasks by their own size.
+    """
+    if archives is None:
+        archives = index.select("archive").distinct().count()
     small = index.select("archive", "offset", "length", "url_key", "timestamp", "place", "nth")
-    return small.repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string, place long, nth long")
+    return small.repartition(max(1, archives), "archive").sortWithinPartitions("archive", "offset").mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string, place long, nth long")
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
@@ -296,4 +303,4 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, **columns) -
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     runs = write_archives(pages, folder, **columns)
-    return read_archives(merge_runs(spark, folder, runs), folder)
+    return read_archives(merge_runs(spark, folder, runs), folder, runs.count())
