@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.kernels import SHINGLE, doc_grams, mix, split_words, word_hashes
 
 BANDS, THRESHOLD = 48, 0.8
-#: Items are broadcast in blocks of this many; each block is one pass over the documents.
-ITEM_BLOCK = 20_000
+#: Items are indexed and broadcast in blocks of about this many characters of text; each block is one pass over the documents.
+BLOCK_CHARS = 16_000_000
 
 
 def _shingle_strings(words: list[str], k: int) -> set[str]:
@@ -73,6 +73,7 @@ class ItemIndex:
                 order = np.argsort(low[:, b], kind="stable")
                 bands_of.append((low[order, b], own[order]))
             self.parts.append((1 << p, np.unique(least), bands_of))
+        self.anchors = np.unique(np.concatenate([p[1] for p in self.parts])) if self.parts else np.zeros(0, np.uint64)
 
     def candidates(self, grams: np.ndarray) -> set[int]:
         """Items that share a band with a window of these shingles in text order."""
@@ -90,12 +91,13 @@ class ItemIndex:
         return found
 
 
-def _search(items: list[tuple], k: int, bands: int, threshold: float):
+def _search(sent, threshold: float):
+    """Looks for the items of an index that was broadcast."""
     thousandths = round(threshold * 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items, k, bands)
-        anchors = np.unique(np.concatenate([p[1] for p in index.parts])) if index.parts else np.zeros(0, np.uint64)
+        index = sent.value
+        k, anchors = index.k, index.anchors
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
@@ -122,13 +124,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).distinct().orderBy("i", "t")
     schema = "doc_id long, item_id long, n_shared long, n_shingles long"
-    out, block = None, []
-    for r in wanted.toLocalIterator():
+    spark, out, block, chars = docs.sparkSession, None, [], 0
+
+    def searched() -> DataFrame:
+        """One pass for the items held by now, whose index is built once and broadcast."""
+        part = rows.mapInArrow(_search(spark.sparkContext.broadcast(ItemIndex(block, k, bands)), threshold), schema)
+        return part if out is None else out.unionByName(part)
+
+    for r in wanted.toLocalIterator():  # a block of items at a time
+        if block and chars + len(r["t"] or "") > BLOCK_CHARS:
+            out, block, chars = searched(), [], 0
         block.append((r["i"], r["t"]))
-        if len(block) == ITEM_BLOCK:
-            part = rows.mapInArrow(_search(block, k, bands, threshold), schema)
-            out, block = part if out is None else out.unionByName(part), []
+        chars += len(r["t"] or "")
     if block or out is None:
-        part = rows.mapInArrow(_search(block, k, bands, threshold), schema)
-        out = part if out is None else out.unionByName(part)
+        out = searched()
     return out.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col), "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
