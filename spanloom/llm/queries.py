@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import contamination, jaccard_join, licenses, mixture, pii, quality, substrings, token_files, toxicity, warc
@@ -43,7 +42,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), texts_too=False)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +59,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pipeline": corpus_pipeline.run,
     "op1_license_scan": op1_license_scan,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_toxicity": op3_toxicity,

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import SPACE, drop_stored, join_bounded, stored, text_of
+from spanloom.llm.common import SPACE, Scratch, drop_stored, join_bounded, join_split, stored, text_of
 from spanloom.llm.kernels import gram_hashes, split_words, word_hashes
 
 WINDOW, PHRASE = 50, 25
@@ -218,15 +218,16 @@ def _stream(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_words, n_removed, kept_sha256, kept_text) for each row of ``docs``."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text", texts_too: bool = True) -> DataFrame:
+    """(id_col, n_words, n_removed, kept_sha256, kept_text) for each row of ``docs``; stored without kept_text unless ``texts_too``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     words = F.array_remove(F.split(text_of(), SPACE), "")
     facts = rows.select("id", "h", words.alias("w")).select("id", "h", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("seal"))
-    named = stored(facts, "facts").where(F.col("id").isNotNull() & (F.col("n") >= window))
-    first = named.groupBy("seal").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
+    keep = Scratch()
+    named = keep(facts, "facts").where(F.col("id").isNotNull() & (F.col("n") >= window))
+    first = named.groupBy("seal").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("c")).where("rep < last")
     # Documents that are not the first of their class lose all their words.
-    copies = stored(named.join(first, "seal").where("id != rep").select("id", "h").distinct(), "copies")
+    copies = keep(join_split(named, first, "seal", "c", named.count()).where("id != rep").select("id", "h").distinct(), "copies")
     singles = join_bounded(rows.where("id is not null"), copies, ["id", "h"], "left_anti", copies.count(), 200_000)
 
     keys = stored(singles.mapInArrow(_phrases(window, phrase), "key long, id long"), "phrases")
@@ -248,7 +249,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     none = F.lit("")
     dealt = routes.join(patterns, "key").where("owner < top").select("shard", F.lit(0).alias("kind"), F.col("owner").alias("id"), F.lit(0).cast("long").alias("h"), "left", "phrase", "right")
     dealt = dealt.unionByName(texts.select(shard, F.lit(1).alias("kind"), "id", "h", none.alias("left"), F.col("text").alias("phrase"), none.alias("right")))
-    cut = stored(dealt.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_stream(window), "id long, h long, kept string, n_removed long"), "cut")
+    cut = keep(dealt.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_stream(window), "id long, h long, kept string, n_removed long"), "cut")
     drop_stored(patterns)
     drop_stored(texts)
 
@@ -257,4 +258,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     out = rows.join(marks, ["id", "h"], "left").select("id", "n_removed", "kept", F.coalesce("all_gone", F.lit(False)).alias("gone"), words.alias("w"))
     n = F.size("w").cast("long")
     out = out.select("id", n.alias("n_words"), F.when(F.col("gone"), n).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"), F.when(F.col("gone"), "").otherwise(F.coalesce("kept", F.array_join("w", " "))).alias("kept_text"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text")
+    out = out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text")
+    return out if texts_too else keep.result(out.drop("kept_text"), "kept")
