@@ -1,37 +1,74 @@
-"""Source files to fact tables: spans, import bindings and calls. The one stage that is not a relational plan."""
+"""Source files to one table of facts. The one stage that is not a relational plan.
+
+Facts: ``span`` (module, class, function, method, import), ``binding`` (a local name and what an import binds it to), ``call``,
+``class`` (what entities are told by), ``route``, ``prefix``, ``registration``, ``exports`` (``__all__``), ``reexport`` and ``gap``.
+Facts with more than the common columns carry them as JSON in ``data``.
+
+A call belongs to the function or method whose body it is in, or to the module if it is in no definition; decorators and
+defaults belong to nobody. Spans of definitions begin at their first decorator. A file that does not parse gives its module span and a gap.
+"""
 
 from __future__ import annotations
 
 import ast
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-FACTS = "path string, module string, fact string, kind string, fq string, name string, target string, receiver string, start_line int, end_line int, fingerprint string"
-_DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+FACTS = "path string, module string, fact string, kind string, fq string, name string, target string, receiver string, start_line int, end_line int, fingerprint string, data string"
+COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
+#: The decorators that register routes.
+VERBS = frozenset({"get", "post", "put", "delete", "patch", "options", "head", "trace"})
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_DEFS = (*_FUNCTIONS, ast.ClassDef)
+_SILENT = frozenset({"ctx", "type_comment", "kind", "type_ignores"})
+
+
+def _canonical(node: object) -> str:
+    """A text of a node's shape: names, literals and operators count; positions, comments and docstrings do not."""
+    if isinstance(node, ast.AST):
+        fields = dict(ast.iter_fields(node))
+        if isinstance(node, (*_DEFS, ast.Module)) and ast.get_docstring(node, clean=False) is not None:
+            fields["body"] = fields["body"][1:] or [ast.Pass()]
+        return f"{type(node).__name__}({','.join(_canonical(v) for k, v in fields.items() if k not in _SILENT)})"
+    if isinstance(node, list):
+        return f"[{','.join(map(_canonical, node))}]"
+    return repr(node)
 
 
 def fingerprint(node: ast.AST) -> str:
-    """SHA-256 of the node's shape: names, literals and operators count; positions, comments and docstrings do not."""
-    copy = ast.parse(ast.unparse(node))
-    for x in ast.walk(copy):
-        body = getattr(x, "body", None)
-        if isinstance(x, (*_DEFS, ast.Module)) and body and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
-            x.body = body[1:] or [ast.Pass()]
-    return hashlib.sha256(ast.dump(copy, annotate_fields=False).encode()).hexdigest()
+    return hashlib.sha256(_canonical(node).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def dotted(node: ast.AST) -> str | None:
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute) and (base := dotted(node.value)):
-        return f"{base}.{node.attr}"
-    return None
+    """The text of a chain of names (``a`` or ``a.b.c``); None for anything else."""
+    names: list[str] = []
+    while isinstance(node, ast.Attribute):
+        names.append(node.attr)
+        node = node.value
+    return ".".join([node.id, *reversed(names)]) if isinstance(node, ast.Name) else None
+
+
+def _text(node: ast.AST | None) -> str | None:
+    return None if node is None else ast.unparse(node)
+
+
+def _literal(node: ast.AST | None) -> str | None:
+    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+
 
+def _keyword(call: ast.Call, name: str) -> ast.AST | None:
+    return next((k.value for k in call.keywords if k.arg == name), None)
 
-def _absolute(module: str, is_package: bool, level: int, name: str | None) -> str | None:
+
+def _last(name: str | None) -> str | None:
+    return None if name is None else name.rpartition(".")[2]
+
+
+def absolute(module: str, is_package: bool, level: int, name: str | None) -> str | None:
     """Module that a relative import names; None if it climbs above the root."""
     if not level:
         return name
@@ -42,59 +79,214 @@ def _absolute(module: str, is_package: bool, level: int, name: str | None) -> st
     return ".".join([*base[: len(base) - up], *([name] if name else [])]) or None
 
 
-def file_facts(path: str, module: str, source: str) -> list[tuple]:
-    """All facts of a file. A syntax error gives the module's span and a gap."""
-    row = lambda fact, kind, fq, name, target, receiver, node, fp: (path, module, fact, kind, fq, name, target, receiver, getattr(node, "first", getattr(node, "lineno", 1)), getattr(node, "end_lineno", None) or 1, fp)
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return [(path, module, "span", "module", module, module, None, None, 1, source.count("\n") + 1, hashlib.sha256(source.encode()).hexdigest()), (path, module, "gap", "has_error", module, None, None, None, 1, 1, None)]
-    out = [(path, module, "span", "module", module, module, None, None, 1, source.count("\n") + 1, fingerprint(tree))]
-    imports = sorted((x for x in ast.walk(tree) if isinstance(x, (ast.Import, ast.ImportFrom))), key=lambda x: (x.lineno, x.col_offset))
-    imports = [x for x in imports if getattr(x, "module", None) != "__future__"]
-    for i, x in enumerate(imports):
-        out.append(row("span", "import", f"{module}::import@{i}", None, None, None, x, fingerprint(x)))
-        if isinstance(x, ast.Import):
-            for a in x.names:
-                out.append(row("binding", "module", f"{module}::import@{i}", a.asname or a.name, a.name, None, x, None))
-        elif target := _absolute(module, path.endswith("__init__.py"), x.level, x.module):
+def _signature(node: ast.AST) -> str | None:
+    if isinstance(node, _FUNCTIONS):
+        return f"({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+    return f"({', '.join(map(ast.unparse, [*node.bases, *node.keywords]))})" if node.bases or node.keywords else None
+
+
+def _class_facts(node: ast.ClassDef) -> dict:
+    """What the direct body of a class assigns, its bases and decorators."""
+    fields, relationships, table = [], [], None
+    for x in node.body:
+        left = x.target if isinstance(x, ast.AnnAssign) else x.targets[0] if isinstance(x, ast.Assign) and len(x.targets) == 1 else None
+        if not isinstance(left, ast.Name):
+            continue
+        call = x.value if isinstance(x.value, ast.Call) else None
+        callee = _last(ast.unparse(call.func)) if call else None
+        if left.id == "__tablename__":
+            table = _literal(x.value)
+            continue
+        if callee == "relationship":
+            first = call.args[0] if call.args else None
+            relationships.append({"name": left.id, "target": _literal(first) or _text(first)})
+        fields.append({"name": left.id, "annotation": _text(x.annotation) if isinstance(x, ast.AnnAssign) else None, "has_default": x.value is not None, "callee": callee})
+    decorators = [ast.unparse(d.func if isinstance(d, ast.Call) else d) for d in node.decorator_list]
+    return {"decorators": decorators, "bases": [_last(ast.unparse(b)) for b in node.bases], "tablename": table, "fields": fields, "relationships": relationships}
+
+
+def _parameters(node: ast.FunctionDef | ast.AsyncFunctionDef) -> list[dict]:
+    a = node.args
+    placed = [*a.posonlyargs, *a.args]
+    least = len(placed) - len(a.defaults)
+    rows = [(x, i >= least) for i, x in enumerate(placed)] + [(x, d is not None) for x, d in zip(a.kwonlyargs, a.kw_defaults, strict=True)]
+    return [{"name": x.arg, "annotation": _text(x.annotation), "has_default": d} for x, d in rows if x.arg not in ("self", "cls")]
+
+
+def _routes(node: ast.FunctionDef | ast.AsyncFunctionDef) -> Iterator[dict]:
+    for d in node.decorator_list:
+        if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in VERBS):
+            continue
+        path = next((p for a in d.args if (p := _literal(a)) is not None), None)
+        if path is None:  # computed paths are a known gap
+            continue
+        model, status, shown = _keyword(d, "response_model"), _keyword(d, "status_code"), _keyword(d, "include_in_schema")
+        names = [n.id for n in ast.walk(model) if isinstance(n, ast.Name)] if model is not None else []
+        attributes = [n.attr for n in ast.walk(model) if isinstance(n, ast.Attribute)] if model is not None else []
+        code = status.value if isinstance(status, ast.Constant) and isinstance(status.value, int) else None
+        yield {
+            "method": d.func.attr.upper(), "raw_path": path, "decorator_object": ast.unparse(d.func.value), "response_model": _text(model),
+            "response_model_base": (attributes or names or [None])[-1], "status_code": code, "include_in_schema": shown is None or (isinstance(shown, ast.Constant) and shown.value is True),
+            "return_type": _text(node.returns), "params": _parameters(node),
+        }
+
+
+def _registrations(node: ast.FunctionDef | ast.AsyncFunctionDef, is_method: bool) -> Iterator[dict]:
+    row = {"form": "decorator", "event": None, "fields": [], "mode": None, "target": None, "decorator_object": None, "registration_module": None, "registration_line": None}
+    for d in node.decorator_list:
+        if not isinstance(d, ast.Call):
+            continue
+        name, owner = _last(ast.unparse(d.func)), ast.unparse(d.func.value) if isinstance(d.func, ast.Attribute) else None
+        missing: list[str] = []
+        if name in ("field_validator", "model_validator") and is_method:
+            mode = _keyword(d, "mode")
+            if mode is not None and _literal(mode) is None:
+                missing.append("dynamic_mode")
+            fields = [_literal(a) for a in d.args] if name == "field_validator" else []
+            if None in fields:
+                missing.append("dynamic_field_names")
+            yield row | {"family": f"pydantic_{name}", "fields": [f for f in fields if f is not None], "mode": _literal(mode), "limitations": missing}
+        elif name == "on_event" and owner is not None:
+            event = next((e for a in d.args if (e := _literal(a)) is not None), None)
+            if event is not None:
+                yield row | {"family": "fastapi_on_event", "event": event, "decorator_object": owner, "limitations": []}
+        elif name == "listens_for" and d.args:
+            event = _literal(d.args[1]) if len(d.args) > 1 else None
+            yield row | {"family": "sqlalchemy_listens_for", "event": event, "target": ast.unparse(d.args[0]), "decorator_object": owner, "limitations": [] if event is not None else ["dynamic_event_name"]}
+
+
+def _prefixes(tree: ast.Module) -> Iterator[tuple[str, ast.AST, int, str]]:
+    """(variable, prefix, order, line's node) of routers that are included or made with a prefix: includes first."""
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr == "include_router":
+            target, value = next((a.id for a in x.args if isinstance(a, ast.Name)), None), _keyword(x, "prefix")
+            if target and value is not None:
+                yield target, value, 0, x
+        elif isinstance(x, ast.Assign) and len(x.targets) == 1 and isinstance(x.targets[0], ast.Name) and isinstance(x.value, ast.Call) and dotted(x.value.func) == "APIRouter":
+            value = _keyword(x.value, "prefix")
+            if value is not None:
+                yield x.targets[0].id, value, 1, x
+
+
+def _exports(tree: ast.Module) -> dict | None:
+    """The last ``__all__`` of a module; names is null where it is not a literal list of strings."""
+    found = None
+    for x in tree.body:
+        left = x.targets[0] if isinstance(x, ast.Assign) else x.target if isinstance(x, (ast.AnnAssign, ast.AugAssign)) else None
+        if not (isinstance(left, ast.Name) and left.id == "__all__"):
+            continue
+        if isinstance(x, ast.AugAssign):
+            found = {"names": found["names"] if found else None, "dynamic": True}
+            continue
+        names = [_literal(e) for e in x.value.elts] if isinstance(x.value, (ast.List, ast.Tuple, ast.Set)) else [None]
+        found = {"names": None, "dynamic": True} if None in names else {"names": sorted(set(names)), "dynamic": False}
+    return found
+
+
+class _File:
+    def __init__(self, path: str, module: str, source: str):
+        self.path, self.module, self.source = path, module, source
+        self.rows: list[tuple] = []
+        self.is_package = path.endswith("__init__.py")
+
+    def put(self, fact: str, kind: str, fq: str, name: str | None = None, target: str | None = None, receiver: str | None = None, at: tuple[int, int] = (1, 1), print_: str | None = None, data: dict | None = None) -> None:
+        self.rows.append((self.path, self.module, fact, kind, fq, name, target, receiver, *at, print_, None if data is None else json.dumps(data, ensure_ascii=False)))
+
+    def facts(self) -> list[tuple]:
+        whole = (1, self.source.count("\n") + 1)
+        try:
+            tree = ast.parse(self.source)
+        except (SyntaxError, ValueError, RecursionError):
+            self.put("span", "module", self.module, self.module, at=whole, print_=hashlib.sha256(self.source.encode("utf-8", "replace")).hexdigest())
+            self.put("gap", "has_error", self.module)
+            return self.rows
+        self.put("span", "module", self.module, self.module, at=whole, print_=fingerprint(tree))
+        self._imports(tree)
+        self._calls(tree.body, self.module, "module")
+        for name, value, order, x in _prefixes(tree):
+            self.put("prefix", "include" if order == 0 else "constructor", self.module, name, _literal(value), at=(x.lineno, x.end_lineno), data={"order": order})
+        if (exports := _exports(tree)) is not None:
+            self.put("exports", "all", self.module, data=exports)
+        self._definitions(tree, self.module, False)
+        return self.rows
+
+    def _imports(self, tree: ast.Module) -> None:
+        top = set(map(id, tree.body))
+        found = [x for x in ast.walk(tree) if isinstance(x, (ast.Import, ast.ImportFrom)) and getattr(x, "module", None) != "__future__"]
+        for i, x in enumerate(sorted(found, key=lambda x: (x.lineno, x.col_offset))):
+            fq, at = f"{self.module}::import@{i}", (x.lineno, x.end_lineno)
+            self.put("span", "import", fq, at=at, print_=fingerprint(x))
+            if isinstance(x, ast.Import):
+                for a in x.names:
+                    self.put("binding", "module", fq, a.asname or a.name, a.name, at=at)
+                    if not a.asname and "." in a.name:  # ``import x.y`` binds x as well
+                        self.put("binding", "root", fq, a.name.partition(".")[0], a.name.partition(".")[0], at=at)
+                continue
+            target = absolute(self.module, self.is_package, x.level, x.module)
             for a in x.names:
-                if a.name != "*":
-                    out.append(row("binding", "symbol", f"{module}::import@{i}", a.asname or a.name, a.name, target, x, None))
+                if a.name == "*":
+                    continue
+                if target:
+                    self.put("binding", "symbol", fq, a.asname or a.name, a.name, target, at)
+                if self.is_package and id(x) in top:
+                    self.put("reexport", "symbol", fq, a.asname or a.name, a.name, target, at)
 
-    def calls(node: ast.AST, owner: str) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, _DEFS):
+    def _calls(self, body: list[ast.stmt], owner: str, kind: str) -> None:
+        """Calls of a body, without those of the definitions in it."""
+        todo: list[ast.AST] = list(reversed(body))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, _DEFS):
                 continue
-            if isinstance(child, ast.Call) and (name := dotted(child.func)):
-                receiver, _, attribute = name.rpartition(".")
-                out.append(row("call", "call", owner, attribute, name, receiver or None, child, None))
-            calls(child, owner)
+            if isinstance(x, ast.Call):
+                at = (x.lineno, x.end_lineno)
+                name = dotted(x.func)
+                attribute = x.func.attr if isinstance(x.func, ast.Attribute) else name
+                if attribute is not None:
+                    self.put("call", kind, owner, attribute, name, name.rpartition(".")[0] or None if name else None, at, data=None if name else {"dynamic": True})
+                if kind == "module" and attribute is not None and len(x.args) >= 3 and isinstance(x.args[2], ast.Name):
+                    # What may be listen(target, "event", handler): a join with the bindings tells.
+                    event = _literal(x.args[1])
+                    data = {"family": "sqlalchemy_listen", "form": "call", "event": event, "fields": [], "mode": None, "target": ast.unparse(x.args[0]), "decorator_object": None, "registration_module": self.module, "registration_line": x.lineno, "limitations": [] if event is not None else ["dynamic_event_name"]}
+                    self.put("listen", "attribute" if isinstance(x.func, ast.Attribute) else "name", owner, attribute, x.args[2].id, None, at, data=data)
+            todo.extend(reversed(list(ast.iter_child_nodes(x))))
 
-    def walk(node: ast.AST, prefix: str, in_class: bool) -> None:
+    def _definitions(self, node: ast.AST, prefix: str, in_class: bool) -> None:
         for child in ast.iter_child_nodes(node):
-            if isinstance(child, _DEFS):
-                kind = "class" if isinstance(child, ast.ClassDef) else "method" if in_class else "function"
-                fq = f"{prefix}.{child.name}" if prefix else child.name
-                out.append(row("span", kind, fq, child.name, None, prefix if kind == "method" else None, child, fingerprint(child)))
-                if kind != "class":
-                    for statement in child.body:
-                        if not isinstance(statement, _DEFS):
-                            calls(ast.Module([statement], []), fq)
-                walk(child, fq, kind == "class")
+            if not isinstance(child, _DEFS):
+                self._definitions(child, prefix, in_class)
+                continue
+            kind = "class" if isinstance(child, ast.ClassDef) else "method" if in_class else "function"
+            fq = f"{prefix}.{child.name}" if prefix else child.name
+            at = (min([child.lineno, *(d.lineno for d in child.decorator_list)]), child.end_lineno)
+            self.put("span", kind, fq, child.name, None, prefix if kind == "method" else None, at, fingerprint(child), {"signature": _signature(child), "top": prefix == self.module})
+            if kind == "class":
+                self.put("class", kind, fq, child.name, at=at, data=_class_facts(child))
             else:
-                walk(child, prefix, in_class)
+                self._calls(child.body, fq, kind)
+                for r in _routes(child):
+                    self.put("route", kind, fq, child.name, r["raw_path"], r["decorator_object"], at, data=r)
+                for r in _registrations(child, kind == "method"):
+                    self.put("registration", kind, fq, child.name, r["family"], prefix if kind == "method" else None, at, data=r)
+            self._definitions(child, fq, kind == "class")
 
-    walk(tree, module, False)
-    return out
+
+def file_facts(path: str, module: str, source: str) -> list[tuple]:
+    """All facts of a file, in the order of :data:`FACTS`."""
+    return _File(path, module, source).facts()
 
 
 def facts(files: DataFrame) -> DataFrame:
     """Rows of (path, module, source) to one table of facts; see :data:`FACTS`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FACTS.split(", ")]
         for b in batches:
-            yield pd.DataFrame([f for p, m, s in zip(b["path"], b["module"], b["source"], strict=True) for f in file_facts(p, m, s or "")], columns=names)
+            rows: list[tuple] = []
+            for p, m, s in zip(b["path"], b["module"], b["source"], strict=True):
+                rows += file_facts(p, m, s or "")
+                if len(rows) > 20_000:  # facts of few files at a time
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    rows = []
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.select("path", "module", "source").mapInPandas(run, FACTS)

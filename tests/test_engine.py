@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import identity
-from spanloom.operators import edges, graph, parse, store
+from spanloom.operators import edges, parse, store
 from spanloom.sources import git
 
 FILES = {
@@ -73,12 +73,6 @@ def test_edges(spark, repo):
     assert [r.path for r in facts.where("fact = 'gap'").collect()] == ["shop/bad.py"]
 
 
-def test_sink_paths(spark):
-    e = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5), (5, 6)], "caller long, callee long")
-    got = graph.sink_paths(e, spark.createDataFrame([(1,)], "entry long"), spark.createDataFrame([(3,), (6,)], "node long"))
-    assert {(r.terminal, tuple(r.steps), r.depth) for r in got.collect()} == {(3, (1, 3), 1), (6, (1, 2, 4, 5, 6), 4)}
-
-
 def test_store(spark):
     old = spark.createDataFrame([("a", 1)], "k string, v int")
     new = spark.createDataFrame([("a", 5), ("b", 3), ("b", 2)], "k string, v int")
