@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from collections.abc import Iterator
 
@@ -18,6 +19,27 @@ def resolve(repo: str, revision: str) -> str:
     return git(repo, "rev-parse", "--verify", f"{revision}^{{commit}}").strip()
 
 
+def parents(repo: str, revision: str) -> list[str]:
+    return git(repo, "rev-list", "--parents", "-n", "1", revision).split()[1:]
+
+
+def exists(repo: str, sha: str) -> bool:
+    return subprocess.run(["git", "-C", repo, "cat-file", "-e", f"{sha}^{{commit}}"], capture_output=True).returncode == 0
+
+
+def origin_slug(repo: str) -> str | None:
+    """``owner/name`` of the origin's address, by ssh or https."""
+    got = subprocess.run(["git", "-C", repo, "remote", "get-url", "origin"], capture_output=True, text=True).stdout.strip()
+    met = re.search(r"[:/]([^/:]+)/([^/]+?)(?:\.git)?/?$", got)
+    return f"{met[1]}/{met[2]}" if met else None
+
+
+def pull_number(subject: str) -> int | None:
+    """The number of the pull request that a commit's subject names, as a squash ``(#12)`` or a merge."""
+    met = re.search(r"\(#(\d+)\)\s*$", subject) or re.match(r"Merge pull request #(\d+)\b", subject)
+    return int(met[1]) if met else None
+
+
 def branch_head(repo: str, branch: str) -> str | None:
     got = subprocess.run(["git", "-C", repo, "rev-parse", "--verify", "-q", f"refs/heads/{branch}"], capture_output=True, text=True)
     return got.stdout.strip() or None
@@ -35,13 +57,13 @@ def first_parent_chain(repo: str, head: str, stop: str, limit: int = 50) -> list
     return chain[: chain.index(stop)][::-1] if stop in chain else None
 
 
-def blobs(spark: SparkSession, repo: str, revision: str, suffix: str = ".py", prefix: str = "", partitions: int = 8) -> DataFrame:
-    """(sha, path, oid, source): the tree is listed in the driver, the blobs are read by the tasks."""
+def blobs(spark: SparkSession, repo: str, revision: str, suffix: str = ".py", prefix: str = "", partitions: int = 8, only: list[str] | None = None) -> DataFrame:
+    """(sha, path, oid, source): the tree is listed in the driver, the blobs are read by the tasks. ``only``: just these paths."""
     sha = resolve(repo, revision)
     rows = []
     for entry in git(repo, "ls-tree", "-r", "-z", sha).split("\0"):
         head, _, path = entry.partition("\t")
-        if path.endswith(suffix) and path.startswith(prefix) and " blob " in f" {head} ":
+        if path.endswith(suffix) and path.startswith(prefix) and (only is None or path in only) and " blob " in f" {head} ":
             rows.append((sha, path, head.split()[2]))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

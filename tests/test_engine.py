@@ -1,6 +1,7 @@
 """Parsing, identities, edges, paths and audits on small sources."""
 
 import hashlib
+import json
 import subprocess
 
 import pytest
@@ -33,6 +34,12 @@ def test_span_id_matches_hashlib(spark):
     assert got == hashlib.sha256("".join(f"{x}\x1f" for x in ("1", "python", "function", "m.é", "ab")).encode()).hexdigest()
 
 
+def test_canonical_json_escapes(spark):
+    values = {"b": 'q"\\', "a": "t\t\r\n\x01é"}
+    got = spark.createDataFrame([(values,)], "v map<string,string>").select(identity.canonical_json(F.col("v"))).first()[0]
+    assert got == json.dumps(values, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def test_artifact_id_ignores_order(spark):
     make = lambda ids: identity.artifact_id(F.array(*map(F.lit, ids)), *[F.lit(x) for x in ("k", "e", "1", "", "")], F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")))
     a, b, c = spark.range(1).select(make(["x", "y"]), make(["y", "x", "y"]), make(["x"])).first()
