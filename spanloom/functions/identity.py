@@ -41,7 +41,7 @@ def artifact_id(span_ids: Column, logical_key: Column, extractor: Column, extrac
     """SHA-256, in hex, over the distinct sorted evidence and what made the artifact. No evidence is an error."""
     ids = F.array_sort(F.array_distinct(span_ids))
     evidence = F.concat(F.array_join(ids, SEPARATOR), F.lit(SEPARATOR))
-    body = F.concat(_fields(F.lit(str(ARTIFACT_ID_VERSION)), F.size(ids).cast("string")), evidence, _fields(logical_key, extractor, extractor_version, prompt_version, model_id), canonical_json(versions))
+    body = F.concat(_fields(F.lit(str(ARTIFACT_ID_VERSION)), F.size(ids).cast("string")), evidence, _fields(logical_key, extractor, extractor_version, prompt_version, model_id, canonical_json(versions)))
     return F.when(F.size(ids) == 0, F.raise_error(F.lit("an artifact needs evidence"))).otherwise(F.sha2(body, 256))
 
 

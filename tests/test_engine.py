@@ -44,7 +44,7 @@ def test_artifact_id_ignores_order(spark):
     make = lambda ids: identity.artifact_id(F.array(*map(F.lit, ids)), *[F.lit(x) for x in ("k", "e", "1", "", "")], F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")))
     a, b, c = spark.range(1).select(make(["x", "y"]), make(["y", "x", "y"]), make(["x"])).first()
     assert a == b != c
-    body = "2\x1f2\x1fx\x1fy\x1fk\x1fe\x1f1\x1f\x1f\x1f" + '{"a":"1","b":"2"}'
+    body = "2\x1f2\x1fx\x1fy\x1fk\x1fe\x1f1\x1f\x1f\x1f" + '{"a":"1","b":"2"}\x1f'
     assert a == hashlib.sha256(body.encode()).hexdigest()
 
 
