@@ -23,17 +23,10 @@ def span_id(lang: Column, kind: Column, fq: Column, fingerprint: Column, version
 def canonical_json(versions: Column) -> Column:
     """Key-sorted compact JSON of a map of strings; ``{}`` for an empty or null map."""
     entries = F.array_sort(F.map_entries(F.coalesce(versions, F.create_map().cast("map<string,string>"))))
-    # JSON's own escapes: backslash and quote, five short ones, and the other control characters by their code.
-    short = {"\n": "n", "\t": "t", "\r": "r", "\b": "b", "\f": "f"}
-    codes = {**{c: f"\\{x}" for c, x in short.items()}, **{chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in short}}
-
-    def quoted(x: Column) -> Column:
-        x = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-        escaped = x
-        for c, e in codes.items():
-            escaped = F.replace(escaped, F.lit(c), F.lit(e))
-        return F.when(F.rlike(x, F.lit("[\\x00-\\x1F]")), escaped).otherwise(x)
-
+    # JSON's own escapes: backslash (first) and quote, five short ones, and the other control characters by their code.
+    short = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r", "\b": "\\b", "\f": "\\f"}
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(e).alias("e")) for c, e in {**short, **{chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in short}}.items()])
+    quoted = lambda x: F.when(F.rlike(x, F.lit(r'[\\"\x00-\x1F]')), F.aggregate(pairs, x, lambda a, p: F.replace(a, p["c"], p["e"]))).otherwise(x)
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), quoted(e["key"]), F.lit('":"'), quoted(e["value"]), F.lit('"'))), ","), F.lit("}"))
 
 

@@ -234,10 +234,11 @@ def paths(facts: DataFrame, prior: DataFrame, rules: list[tuple[str, list[str]]]
 EXTRACTORS: dict[str, Callable[..., DataFrame]] = {"imports": imports, "fastapi_contract": routes, "entities": entities, "events": events, "library_surface": surface, "calls": calls}
 
 
-def extract_all(facts: DataFrame, versions: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
-    """The artifacts of all extractors; the first one of a logical key counts."""
+def extract_all(facts: DataFrame, versions: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df.persist()) -> DataFrame:
+    """The artifacts of all extractors. ``keep`` stores those that the paths read, which would else be made once for each use."""
     out = None
     for name in EXTRACTORS:
         made = EXTRACTORS[name](facts, versions)
         out = made if out is None else out.unionByName(made)
+    out = keep(out)
     return out.unionByName(paths(facts, out, rules))

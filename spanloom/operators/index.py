@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import tomllib
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,9 +99,16 @@ def index_commit(spark: SparkSession, st: store.Store, repo: str, revision: str,
     fresh = own.join(kept.select("path").distinct(), "path", "left_anti") if before else own
     parsed = parse.facts(fresh).join(fresh.select("path", "oid"), "path").select(*[c.split()[0] for c in store.SCHEMAS["facts"].split(", ")])
     parts = {"facts": [st.stage("facts", parsed.unionByName(kept) if before else parsed, sha)]}
-    facts = st.staged("facts", parts["facts"][0]).drop("sha")
+    facts = st.staged("facts", parts["facts"][0]).drop("sha").persist()
     texts = {r["path"]: r["source"] for r in git.blobs(spark, repo, sha, suffix="", only=["uv.lock", "poetry.lock", "pyproject.toml", *SINK_RULES]).collect()}  # five files at most
-    artifacts, derived = grounded(extract.extract_all(facts, framework_versions(texts), sink_rules(texts)))
+    first = f"{st.path}/extracted/{sha}-{uuid.uuid4().hex}"
+
+    def keep(made: DataFrame) -> DataFrame:
+        made.coalesce(max(1, spark.sparkContext.defaultParallelism)).write.parquet(first)
+        return spark.read.schema(made.schema).parquet(first)
+
+    made = extract.extract_all(facts, framework_versions(texts), sink_rules(texts), keep)
+    artifacts, derived = grounded(made)
     spans = extract.spans(facts).select("span_id", F.lit("python").alias("lang"), F.col("kind").alias("span_kind"), F.col("fq").alias("fq_symbol_path"), F.col("fingerprint").alias("structural_fingerprint"), F.lit(identity.NORMALIZATION_VERSION).alias("normalization_version")).dropDuplicates(["span_id"])
     for name, rows in (("code_span", spans), ("span_occurrence", occurrences(facts, own)), ("artifact", artifacts)):
         parts[name] = [st.stage(name, rows, sha)]
@@ -114,7 +122,9 @@ def index_commit(spark: SparkSession, st: store.Store, repo: str, revision: str,
     st.publish(sha, parts, root=root, ingested_at=when.isoformat(), parents=git.parents(repo, sha))
     total, n_fresh = own.count(), fresh.count()
     files.unpersist()
-    return IndexResult(sha, "incremental" if before else "full", total, n_fresh, total - n_fresh, facts.where("fact = 'span'").count(), artifacts.count(), sorted(r["path"] for r in facts.where("fact = 'gap'").select("path").collect()))
+    result = IndexResult(sha, "incremental" if before else "full", total, n_fresh, total - n_fresh, facts.where("fact = 'span'").count(), artifacts.count(), sorted(r["path"] for r in facts.where("fact = 'gap'").select("path").collect()))
+    facts.unpersist()
+    return result
 
 
 def changed_spans(st: store.Store, left: str, right: str) -> DataFrame:

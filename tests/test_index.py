@@ -3,10 +3,9 @@
 import subprocess
 
 import pytest
-from pyspark.sql import functions as F
 
-from spanloom import providers
-from spanloom.operators import index, serve, store
+from spanloom import cli, providers
+from spanloom.operators import index, semantic, serve, store
 from spanloom.sources import git
 from spanloom.streaming import watch
 
@@ -144,3 +143,38 @@ def test_git_facts(repo):
     assert git.origin_slug(path) == "me/it"
     assert index.framework_versions({"uv.lock": '[[package]]\nname = "FastAPI"\nversion = "0.1"\n'}) == {"fastapi": "0.1"}
     assert index.sink_rules({".kb/sinks.json": '{"version": 1, "extend": false, "sinks": [{"name": "a", "patterns": ["*.b"]}]}'}) == [("a", ["*.b"])]
+
+
+def _stub():
+    """A model that names one symbol of the source and one that is not there. Made here, so that workers need no test module."""
+    return providers.StubLLM('Sure: {"summary": "it goes", "claims": [{"text": "has go", "symbol": "app.b.go"}, {"text": "made up", "symbol": "Phantom"}, {"text": "none"}, 3]} done')
+
+
+def test_descriptions_and_decisions(spark, watched, repo):
+    st, (path, shas) = watched[0], repo
+    n, dropped = semantic.describe_snapshot(st, shas[2], _stub())
+    rows = {r.logical_key: r for r in st.table("artifact", shas[2]).where("kind = 'description'").collect()}
+    assert n == len(rows) and {"desc:module:app.b", "desc:module:app.a", "desc:package:app", "desc:repo"} >= set(rows) - {k for k in rows if k.startswith("desc:entity")} and "desc:module:app.b" in rows and "desc:module:app.c" not in rows
+    assert abs(rows["desc:module:app.b"].confidence - 1 / 4) < 1e-9 and not rows["desc:module:app.b"].is_deterministic and dropped == 2 * n
+    got = serve.get_knowledge(st, "desc:module:app.b", shas[2]).collect()
+    assert [(r.method, r.summary) for r in got] == [("llm-grounded", "it goes")]
+    prs = providers.StaticPRs({1: providers.PullRequest(1, "Go on", "because", "me")})
+    out = semantic.mine_history(spark, st, path, _stub(), shas[2], requests=prs)
+    assert (out.scanned, out.mined, out.enriched, out.fetch_failed) == (3, 2, 1, 2)
+    again = semantic.mine_history(spark, st, path, _stub(), shas[2])
+    assert (again.already_mined, again.mined) == (2, 0)
+    assert semantic.describe_snapshot(st, shas[0], providers.StubLLM("no json")) == (0, 0)
+
+
+def test_claims():
+    kept, dropped = semantic.validate_claims([{"symbol": "List[Out]"}, {"symbol": "a.Gone"}, {"text": "x"}, "no"], ["class Out: pass"], ["m.Out"])
+    assert [len(kept), len(dropped)] == [1, 2] and semantic.answered("x") is None and semantic.answered("[1]") is None
+    assert semantic.packed("h", ["a" * 9000, "b"]) == "h" + "a" * 9000 + "\n\n"
+
+
+def test_command_line(spark, watched, repo, capsys):
+    st, shas = watched[0], repo[1]
+    cli.main(["--store", st.path, "knowledge", "entity:app.b.Row", "--sha", shas[2]], spark)
+    assert '"logical_key": "entity:app.b.Row"' in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["--store", st.path, "describe"], spark)
