@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import stored
 from spanloom.llm.kernels import SHINGLE, doc_grams, mix, split_words, word_hashes
 
 BANDS, THRESHOLD = 48, 0.8
@@ -104,7 +105,7 @@ def _search(sent, threshold: float):
                 offsets, doc, grams, flat, cuts = _text_grams(part.column(1), k)
                 at = np.searchsorted(anchors, grams)
                 hit = anchors[np.minimum(at, len(anchors) - 1)] == grams if len(anchors) else np.zeros(len(grams), bool)
-                ids, out = part.column(0), []
+                ids, hashes, out = part.column(0), part.column(2), []
                 for i in np.unique(doc[hit]).tolist():
                     found = index.candidates(grams[cuts[i] : cuts[i + 1]])
                     if found:
@@ -112,18 +113,18 @@ def _search(sent, threshold: float):
                         for j in sorted(found):
                             n, shared = len(index.strings[j]), len(index.strings[j] & own)
                             if shared * 1000 >= thousandths * n:
-                                out.append((ids[i].as_py(), index.ids[j], shared, n))
+                                out.append((ids[i].as_py(), hashes[i].as_py(), index.ids[j], shared, n))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "item_id", "n_shared", "n_shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "h", "item_id", "n_shared", "n_shingles"])
 
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id_col, item_id_col, n_shared, n_shingles, containment): each item found in each row of ``docs``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """(id_col, item_id_col, n_shared, n_shingles, containment): each item found in each row of ``docs``; ``with_hash`` adds text_hash."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     wanted = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).distinct().orderBy("i", "t")
-    schema = "doc_id long, item_id long, n_shared long, n_shingles long"
+    schema = "doc_id long, h long, item_id long, n_shared long, n_shingles long"
     spark, out, block, chars = docs.sparkSession, None, [], 0
 
     def searched() -> DataFrame:
@@ -138,4 +139,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         chars += len(r["t"] or "")
     if block or out is None:
         out = searched()
-    return out.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col), "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+    found = [F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col), "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment")]
+    return out.select(*found, *([F.col("h").alias("text_hash")] if with_hash else []))
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no item, told apart by id (null included) and text."""
+    found = contaminated(docs, items, id_col=id_col, text_col=text_col, with_hash=True, **options)
+    gone = stored(found.select(F.col(id_col).alias("_c_id"), F.col("text_hash").alias("_c_h")).distinct(), "contaminated")
+    on = F.col(id_col).eqNullSafe(F.col("_c_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_c_h"))
+    return docs.join(F.broadcast(gone) if gone.count() <= 200_000 else gone, on, "left_anti")

@@ -32,10 +32,14 @@ END_ID = 2
 MANIFEST = "shard int, name string, width int, n_docs long, n_tokens long, base long"
 
 
+#: Texts that tell whether a tokenizer drops white space: words apart by blanks, line breaks and tabs, first, last and doubled.
+PROBES = ("a b", " the end", "the end ", "one\ntwo", "one\t two  three", "Don't stop, now: 3 x 4", "\n\nüber die\r\n")
+
+
 class WordEncoder:
-    """Encodes texts word by word, each distinct word once.
+    """Encodes texts word by word, each distinct word once; whole texts where the tokenizer's ids depend on white space.
 
-    The vocabulary's pre-tokenizer drops white space and no token or normalisation reaches across it, so the ids of a
+    Where the vocabulary's pre-tokenizer drops white space, no token or normalisation reaches across it, so the ids of a
     text are those of its words, one after the other. The first ``keep`` distinct words are remembered for as long as
     the worker lives, frequent ones among them; later ones are encoded batch by batch.
     """
@@ -45,6 +49,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Word by word is right only where white space is dropped: two texts of the same words have to have the same ids.
+        self.by_word = all(self.tokenizer.encode(a, add_special_tokens=False).ids == [x for w in a.split() for x in self.tokenizer.encode(w, add_special_tokens=False).ids] for a in PROBES)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.keep = keep
         self.known: dict[str, int] = {}
@@ -53,6 +59,9 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts, without end ids."""
+        if not self.by_word:
+            every = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([[0], np.cumsum([len(e) for e in every])]).astype(np.int64), np.fromiter((x for e in every for x in e), f"<u{self.width}", sum(map(len, every)))
         offsets, words = split_words(texts)
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()

@@ -187,6 +187,18 @@ def test_token_files(spark, docs, none):
     assert token_files.read_tokens(spark, folder).count() == 0
 
 
+def test_token_files_of_a_byte_level_tokenizer(spark):
+    """Ids that depend on white space: whole texts are encoded."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    tok, texts = Tokenizer.from_file(path), ["a  b", " lead", "trail ", "x\n\ny", None, "", "one two"]
+    folder, _ = token_files.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    for r in token_files.read_tokens(spark, folder).collect():
+        ids = [*tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_mixture(docs, none):
     got = mixture.mix_sources(docs).collect()
     again = mixture.mix_sources(docs).collect()
@@ -552,6 +564,53 @@ def test_licenses_short_partial_and_long(spark):
     assert got == {1: {"All-rights-reserved-line"}, 3: {"MIT-text"}, 5: {"BSD-2-Clause-text", "BSD-3-Clause-condition"}, 6: {"BSD-2-Clause-text"}, 7: {"MIT-line"}, 8: {"MIT-text"}, 9: {"All-rights-reserved-line"}, None: {"All-rights-reserved-line"}}
 
 
+def test_pipeline_stages_by_brute_force(spark, docs, tmp_path):
+    """Each stage on rows with nulls, empty and long texts, repeated rows, shared ids and clashing columns, against plain Python."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+    more = docs.unionByName(docs.where("doc_id = 100").withColumn("text", F.concat("text", F.lit(f" and {ITEM} too"))))
+    run = lambda name, df: stages[name](spark, df, sf)
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    rows = plain(more)
+
+    judged = {(r.doc_id, r.text_hash) for r in quality.quality(more).where("kept").collect()}
+    hashed = more.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    assert plain(run("quality rules", more)) == sorted(((r.doc_id, r.text) for r in hashed if (r.doc_id, r.h) in judged), key=str)
+
+    sets = {x: _set(x[1]) for x in rows}
+    alone = [x for x in sorted(sets, key=str) if x[0] is None or not sets[x]]
+    got, left = plain(run("n-gram Jaccard join", more)), sorted(set(sets) - set(alone))
+    assert {x for x in got if x in alone} == set(alone)
+    while left:
+        group, todo = set(), [left[0]]
+        while todo:
+            x = todo.pop()
+            if x not in group:
+                group.add(x)
+                todo += [y for y in left if 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y])]
+        stays = [x for x in got if x in group]
+        assert len(stays) == 1 and stays[0][0] == min(group)[0]
+        left = [x for x in left if x not in group]
+
+    item = _set(ITEM)
+    assert plain(run("benchmark decontamination", more)) == [x for x in rows if 10 * len(item & _set(x[1])) < 8 * len(item)]
+
+    mixed = collections.Counter(plain(run("mixing sources to target weights", more)))
+    assert sum(mixed.values()) == sum(r.copies for r in mixture.mix_sources(more).collect()) and all(n <= 3 * rows.count(x) for x, n in mixed.items())
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, more, sf).columns == more.columns and stage(spark, more.where("false"), sf).count() == 0
+
+    tok, start, ids = Tokenizer.from_file(queries.tokenizer_path()), 0, []
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        n = len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+        ids.append((i, start, n))
+        start += n
+    assert sorted(((r.doc_id, r.start, r.n_tokens) for r in run("token-ID / binary output", more).collect()), key=str) == sorted(ids, key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
