@@ -2,25 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; it is written as Parquet and
 read again as the next stage's ``docs``. All but the last return the columns of ``documents``. Tables may be empty and any column
-may hold nulls: each stage does what its operator documents, and a row with a null doc_id is never dropped as a duplicate
-or as contaminated.
+may hold nulls: each stage does what its operator documents. Rows are told apart by doc_id and text: of rows that share an id
+each is judged by its own text. A row with a null doc_id is never dropped as a duplicate.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanloom.llm import contamination, jaccard_join, mixture, quality, token_files
 from spanloom.llm.common import stored, table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among ``ids``, by a broadcast if these were counted to be few."""
-    gone = stored(ids.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= 200_000 else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the robust distance reject go."""
     return quality.quality_rows(docs)
@@ -33,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, contamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return contamination.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +50,8 @@ STAGES = [
     ("token-ID / binary output", token_output),
 ]
 
-#: SQL cannot express the robust fit, the cube method and the tokenizer: the stages are tested against brute force.
+#: SQL cannot express the robust fit, the cube method and the tokenizer. The tests hold each stage against brute force: verdicts
+#: by least determinants, pairs of shingle sets, items in texts, totals of the mix, ids by the tokenizer on whole texts.
 ORACLE_SQL = None
 
 
