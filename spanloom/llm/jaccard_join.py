@@ -3,13 +3,19 @@
 Documents with the same set of five-word shingles form one class, represented by its smallest doc_id. Each of
 several runs sends a class down the paths named by its sampled shingles: shingle ``s`` of a set of ``n`` is sampled
 if a hash of the run, the path so far and ``s`` is below ``1 / (threshold * n)``, so that similar sets expect to
-share at least one path. Buckets of up to ``bucket`` classes are compared by brute force; larger ones are split again
-on newly sampled shared shingles, and those still larger at the last depth are compared in blocks of ``BLOCK``, so no
+share at least one path. Buckets of up to ``bucket`` classes are compared by brute force. Of larger ones, those in which
+many pairs are similar are compared in blocks of ``BLOCK``, once for all runs that found the same group; the others are split
+again on newly sampled shared shingles, and what is still larger at the last depth is compared in blocks too, so no
 bucket is capped. Every link is verified on the whole shingle sets.
 
+Similar sets share most of their paths, sets with a line in common a few. A class leaves the large buckets if fewer than
+``least_shared`` of its paths end in them (a pair that shares more has one in a small bucket), and it is not compared
+at all if fewer of its paths meet others.
+
 Recall: sets at the threshold expect at least one shared sample a depth, and a path that is split again can end at each of
 them: a run finds a pair whose buckets are all large with probability ``s(depth)``, where ``s(0) = 1`` and
-``s(d) = 1 - exp(-s(d - 1))``. ``runs_for`` repeats runs until the target recall holds at the last depth.
+``s(d) = 1 - exp(-s(d - 1))``. ``runs_for`` repeats runs until half of the misses that the target recall allows are left at the
+last depth; ``least_shared`` keeps to the other half and what the runs leave of theirs.
 
 Defined results: null, empty and blank texts have no shingles, are a class of their own each and link with nothing;
 texts of one to four words are one shingle, their whole word sequence; rows with a null id come back with null class
@@ -28,24 +34,44 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Scratch, drop_stored, join_bounded, join_split, stored
+from spanloom.llm.common import HOT_SHARE, Scratch, drop_stored, join_bounded, join_split, stored
 from spanloom.llm.components import connected_components
 from spanloom.llm.kernels import mix, shingle_sets
 
 THRESHOLD, TARGET_RECALL, BUCKET, DEPTH, BLOCK = 0.8, 0.9999, 256, 3, 1024
-#: Keys of 16 bytes that are broadcast to find their texts; more are shuffled with the texts.
+#: Keys of at most 16 bytes that are broadcast to find their texts or rows; more are shuffled with these.
 KEYS = 500_000
 #: Values that are intersected at once, about.
 VALUES = 4_000_000
+#: Large buckets with at least this share of similar pairs are not split: comparing all pairs is at most so much more than the links.
+DENSE, SEEN = 0.25, 16
 
 
-def runs_for(target_recall: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold, split at every depth, is missed with probability below ``1 - target_recall``."""
+def _found(depth: int) -> float:
+    """A run misses a pair at the threshold with probability exp of less this: no shared sample leads to a shared leaf."""
     found = 1.0
     for _ in range(depth - 1):
         found = 1 - math.exp(-found)
-    # A run misses with probability exp(-found): no shared sample of the first depth leads to a shared leaf.
-    return math.ceil(math.log(1 - target_recall) / -found)
+    return found
+
+
+def runs_for(target_recall: float, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold, split at every depth, is missed with probability below ``1 - target_recall``."""
+    return math.ceil(math.log(1 - target_recall) / -_found(depth))
+
+
+def least_shared(target_recall: float, runs: int, depth: int = DEPTH) -> int:
+    """Keys of the first depth that a pair at the threshold shares, unless it is one of the misses that the runs leave to the target.
+
+    What it shares is a sum of independent events that are expected ``runs`` times at least: fewer are no likelier than by Poisson.
+    """
+    left, k = 1 - target_recall - math.exp(-_found(depth) * runs), 0
+    term = math.exp(-runs)
+    while left >= term:
+        left -= term
+        k += 1
+        term *= runs / k
+    return max(k, 1)
 
 
 def _sampled(doc: np.ndarray, grams: np.ndarray, sizes: np.ndarray, seed: np.ndarray | np.uint64, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +231,28 @@ def _brute(threshold: float):
     return run
 
 
+def _dense(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """Keys of the buckets in (key, rep) in which a ``DENSE`` share of the pairs of up to ``SEEN`` classes have half of their keys in common."""
+    drawn = F.array_distinct(F.array(*[F.min_by("rep", F.xxhash64("rep", "key", F.lit(i))) for i in range(SEEN)]))
+    seen = large.groupBy("key").agg(drawn.alias("reps")).select("key", F.explode("reps").alias("rep"))
+    seen = join_bounded(classes.select("rep", "keys"), seen, ["rep"], "inner", seen.count()).groupBy("key").agg(F.collect_list("keys").alias("k"))
+    alike = "aggregate(k, 0, (s, a) -> s + size(filter(k, b -> 2 * size(array_intersect(a, b)) >= greatest(size(a), size(b)))) - 1)"
+    return seen.where(F.expr(f"{alike} >= {DENSE} * size(k) * (size(k) - 1)")).select("key")
+
+
+def _merged(rows: DataFrame, keep: Scratch) -> DataFrame:
+    """(leaf, c, rep) of large buckets (key, rep): those with the same first class are one if that is at most twice the largest."""
+    sums = rows.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y"))
+    firsts = keep(sums.groupBy("a", "c", "x", "y").agg(F.min("key").alias("key")).select("key", "a", "c"), "firsts")
+    count = firsts.count()
+    named = keep(join_bounded(rows, firsts, ["key"], "inner", count), "named")
+    groups = named.groupBy("a", "rep").agg(F.lit(1)).groupBy("a").agg(F.count("*").alias("all"))
+    groups = groups.join(firsts.groupBy("a").agg(F.max("c").alias("most"), F.min("key").alias("leaf")), "a").withColumn("one", F.expr("all <= 2 * most"))
+    named = join_bounded(named, groups, ["a"], "inner", count)
+    one = named.where("one").select("leaf", F.col("all").alias("c"), "rep").distinct()
+    return one.unionByName(named.where("not one").select(F.col("key").alias("leaf"), "c", "rep"))
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, bucket: int = BUCKET, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, rep_id, class_id, n_links, text_hash, rep_hash, class_hash) for each row of ``docs``.
 
@@ -214,7 +262,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
     """
     spark = docs.sparkSession
     keep = Scratch()
-    runs = runs_for(target_recall, depth)
+    # Half of the misses allowed are left to what is dropped for having few keys in common.
+    runs = runs_for((1 + target_recall) / 2, depth)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     texts = rows.where("id is not null")
     seals = keep(texts.select("id", "h", "text").mapInArrow(_signatures(threshold, runs), "id long, h long, s1 long, s2 long, n long, keys array<long>"), "seals")
@@ -238,44 +287,72 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
         met = [join_bounded(held, x, ["rep_id", "rep_hash"], "inner", count, limit) for x in (once, again)]
         return met[0].unionByName(met[1].dropDuplicates(["rep"]))
 
-    level = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    leaf_rows, used = [], []
+    least = least_shared(target_recall, runs, depth)
+    level = stored(classes.select(F.explode("keys").alias("key"), "rep", "n"), "paths")
+    leaf_rows, whole, used = [], [], [level]
+    # A class with no other of a size that allows the threshold leaves its bucket (lossless).
+    near = F.expr(f"filter(m, x -> exists(m, y -> y.rep != x.rep and least(x.n, y.n) * 1000 >= {round(threshold * 1000)} * greatest(x.n, y.n)))")
+
+    def parts(rows: DataFrame, weight: int) -> DataFrame:
+        """Adds the buckets of ``rows`` (key, rep, n) that are compared as they are to the leaves; the rows of larger ones."""
+        hot = stored(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > bucket), "hot")
+        # Where their keys are few enough to broadcast, only rows of small buckets are shuffled.
+        few, total = hot.count() <= KEYS, rows.count()
+        often = F.col("c") > F.lit(total * HOT_SHARE)
+        rest = rows.join(F.broadcast(hot if few else hot.where(often)).select("key"), "key", "left_anti")
+        rest = rest if few else rest.join(hot.select("key"), "key", "left_anti")
+        small = rest.groupBy("key").agg(F.collect_list(F.struct("n", "rep")).alias("m")).where("size(m) > 1")
+        small = small.select("key", F.array_sort(F.transform(near, lambda x: x["rep"])).alias("m")).where("size(m) > 1")
+        # Buckets of the same classes are compared once; ``w``: how many keys of the first depth they stand for.
+        leaf_rows.append(stored(small.groupBy("m").agg(F.min("key").alias("leaf"), (F.count("*") * weight).alias("w")), "leaves"))
+        large = rows.join(F.broadcast(hot.select("key")), "key", "left_semi") if few else join_split(rows, hot, "key", "c", total, "left_semi")
+        used.extend([hot, leaf_rows[-1], stored(large, "large")])
+        return used[-1]
+
+    large = parts(level, 1)
+    wide = large.groupBy("rep").agg(F.count("*").alias("w"))
+    # A pair that shares ``least`` keys and none of a small bucket shares them all in large ones: other classes leave these,
+    # which may be small without them.
+    risky = wide.where(F.col("w") >= least).select("rep")
+    level = stored(join_bounded(large, risky, ["rep"], "left_semi", risky.count()), "paths")
+    used.append(level)
+    large = parts(level, 0)
     for d in range(1, depth + 1):
-        level = stored(level, "paths")
-        used.append(level)
-        total = level.count()
-        sums = level.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y")).where("c > 1")
-        large = sums.where(F.col("c") > bucket)
-        # Buckets of the same classes are compared once.
-        once = (sums if d == depth else sums.where(F.col("c") <= bucket)).groupBy("c", "x", "y").agg(F.min("key").alias("key"))
-        leaf_rows.append(join_split(level, once.select("key", "c"), "key", "c", total).select(F.col("key").alias("leaf"), "c", "rep", "n"))
         if d == depth:
+            whole.append(large)
             break
-        again = stored(join_split(level, large.select("key", "c"), "key", "c", total, "left_semi").groupBy("rep").agg(F.collect_set("key").alias("paths")), "again")
+        dense = keep(_dense(large, classes), "dense")
+        n_dense = dense.count()
+        whole.append(join_bounded(large, dense, ["key"], "left_semi", n_dense))
+        again = stored(join_bounded(large, dense, ["key"], "left_anti", n_dense).groupBy("rep").agg(F.collect_set("key").alias("paths")), "again")
         used.append(again)
         count = again.count()
         if not count:
             break
-        level = with_text(again, count, 50_000).select("rep", "text", "paths").mapInArrow(_children(threshold), "key long, rep long, n long")
-    leaves = leaf_rows[0]
+        level = stored(with_text(again, count, 50_000).select("rep", "text", "paths").mapInArrow(_children(threshold), "key long, rep long, n long"), "paths")
+        used.append(level)
+        large = parts(level, 0)
+    leaves, heavy = leaf_rows[0], whole[0]
     for more in leaf_rows[1:]:
         leaves = leaves.unionByName(more)
-    leaves = stored(leaves, "leaves")
-    for t in used:
-        drop_stored(t)
-
-    # Small leaves: a class with no other of a size that allows the threshold goes (lossless).
-    near = F.expr(f"filter(m, x -> exists(m, y -> y.rep != x.rep and least(x.n, y.n) * 1000 >= {round(threshold * 1000)} * greatest(x.n, y.n)))")
-    small = leaves.where(F.col("c") <= bucket).groupBy("leaf", "c").agg(F.collect_list(F.struct("n", "rep")).alias("m"))
-    small = small.select("leaf", F.array_sort(F.array_distinct(F.transform(near, lambda x: x["rep"]))).alias("m")).where("size(m) > 1")
+    for more in whole[1:]:
+        heavy = heavy.unionByName(more)
+
+    # A class that has too few keys in common with whatever others there are leaves the small ones.
+    small = leaves.select("leaf", "w", F.explode("m").alias("rep"))
+    held = small.select("rep", "w").unionByName(wide).groupBy("rep").agg(F.sum("w").alias("w")).where(F.col("w") >= least).select("rep")
+    held = keep(held, "held")
+    small = join_bounded(small.select("leaf", "rep"), held, ["rep"], "left_semi", held.count())
+    small = small.groupBy("leaf").agg(F.array_sort(F.collect_set("rep")).alias("m")).where("size(m) > 1")
     # Leaves with the same first class are mostly one group seen in several runs: they are compared as one where that is no
     # more than twice the largest of them. Every pair of a leaf is a pair of the group.
     groups = small.groupBy(F.col("m")[0].alias("a")).agg(F.collect_list(F.struct("leaf", "m")).alias("own"), F.max(F.size("m")).alias("most"))
     groups = groups.withColumn("all", F.array_distinct(F.flatten("own.m")))
     merged = F.when(F.size("all") <= 2 * F.col("most"), F.array(F.struct(F.array_min("own.leaf").alias("leaf"), F.col("all").alias("m")))).otherwise(F.col("own"))
     small = groups.select(F.explode(merged).alias("x")).select("x.leaf", F.size("x.m").cast("long").alias("c"), F.explode("x.m").alias("rep"))
-    pairs = stored(small.unionByName(leaves.where(F.col("c") > bucket).select("leaf", "c", "rep")), "pairs")
-    drop_stored(leaves)
+    pairs = stored(small.unionByName(_merged(keep(heavy.select("key", "rep"), "heavy"), keep)), "pairs")
+    for t in used:
+        drop_stored(t)
     involved = pairs.groupBy("rep").agg(F.collect_set("leaf").alias("leaves"))
     sets = with_text(involved, pairs.select("rep").distinct().count(), 100_000).select("rep", "text", "leaves").mapInArrow(_with_sets, "rep long, leaves array<long>, shingles array<long>")
     sizes = pairs.where(F.col("c") > bucket).select("leaf", "c").distinct()

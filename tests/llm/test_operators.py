@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -117,6 +118,56 @@ def test_jaccard_join_recall_in_a_group_at_the_threshold(spark):
     assert 100_000 < want and sum(r.n_links for r in got) >= 0.9999 * want and all(r.n_links <= link[r.doc_id].sum() - 1 for r in got)
 
 
+def test_jaccard_join_recall_of_buckets_that_are_split(spark, monkeypatch):
+    """The target recall holds as well where no bucket passes for one of similar sets, so that all are split to the last depth."""
+    monkeypatch.setattr(jaccard_join, "DENSE", 2)
+    test_jaccard_join_recall_of_split_buckets(spark)
+
+
+def test_jaccard_join_misses_stay_within_the_target():
+    """Runs that find nothing and pairs that share too few keys together miss less than the target recall allows."""
+    for target in (0.9, 0.99, 0.9999):
+        for depth, found in ((1, 1.0), (2, 1 - math.exp(-1)), (3, 1 - math.exp(math.exp(-1) - 1))):
+            runs = jaccard_join.runs_for((1 + target) / 2, depth)
+            few = sum(math.exp(-runs) * runs**k / math.factorial(k) for k in range(jaccard_join.least_shared(target, runs, depth)))
+            assert math.exp(-found * runs) + few <= 1 - target or jaccard_join.least_shared(target, runs, depth) == 1
+    assert jaccard_join.least_shared(0.9999, 22) == 7
+
+
+def _rows_stored(monkeypatch, docs, **options):
+    """The result, and the rows of the tables that are stored on the way, by name."""
+    rows, store = {}, jaccard_join.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    return jaccard_join.jaccard_join(docs, **options).collect(), rows
+
+
+def test_jaccard_join_compares_a_group_of_near_copies_once(spark, monkeypatch):
+    """Near copies over the bucket limit are not split again, and all runs' buckets of them are few comparisons."""
+    base = [f"t{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(300)], "doc_id long, text string")
+    got, rows = _rows_stored(monkeypatch, docs, bucket=32)
+    assert {r.n_links for r in got} == {299} and {r.class_id for r in got} == {0}
+    assert sum(rows["again"]) == 0 and sum(rows["pairs"]) < 5 * 300
+
+
+def test_jaccard_join_leaves_texts_with_a_common_line_apart(spark, monkeypatch):
+    """Texts that share a line only are not compared; near copies among them are, in large buckets and in small ones."""
+    line = [f"c{i}" for i in range(10)]
+    own = lambda i: [f"w{i}_{j}" for j in range(90)]
+    texts = [(i, " ".join(line + own(i))) for i in range(400)] + [(1000 + i, " ".join(line + own(i)[:88])) for i in range(0, 400, 20)]
+    for bucket in (16, 1024):
+        with monkeypatch.context() as m:
+            got, rows = _rows_stored(m, spark.createDataFrame(texts, "doc_id long, text string"), bucket=bucket)
+        assert {r.doc_id: r.class_id for r in got} == {i: i % 1000 for i, _ in texts} and sum(r.n_links for r in got) == 40
+        assert sum(rows["pairs"]) < 200
+
+
 def test_texts_that_share_an_id(spark):
     """Rows of one id with different texts are different documents; equal rows are one; no text goes without a survivor."""
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
