@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import identity
-from spanloom.operators import edges, extract, parse, sinks, vectors
+from spanloom.operators import edges, extract, parse, sinks, store, vectors
 from spanloom.plans import catalog
 from spanloom.plans.dialect import Duck
 from spanloom.plans.model import with_parts
@@ -51,6 +51,8 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     parts = _table(spark, sf, "part").select("p_partkey", "p_size", "p_type")
     called = call_graph(spark, sf).groupBy(F.col("caller").alias("p_partkey")).agg(F.array_sort(F.collect_list("callee")).alias("callees"))
     rows = parts.join(called, "p_partkey", "left").withColumn("callees", F.coalesce("callees", F.array().cast("array<bigint>")))
+    # Parsing is the costly step: several tasks a core, dealt before the texts are made.
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
     even, n = F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")
     text = lambda form: F.array_join(F.transform("callees", lambda c: F.format_string(form, c, c)), "")
     imports = F.when(even, text("from shop.p%d import f%d\n")).otherwise(text("import shop.p%d as m%d\n"))
@@ -61,43 +63,52 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.concat(F.lit("shop/p"), n, F.lit(".py")).alias("path"), F.concat(F.lit("shop.p"), n).alias("module"), source.alias("source"))
 
 
-def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    # Parsing is the costly step: as many tasks as there are cores.
-    files = sources(spark, sf)
-    return parse.facts(files.repartition(spark.sparkContext.defaultParallelism, "path"))
+def _facts(spark: SparkSession, sf: str, *only: str, prints: bool = False) -> DataFrame:
+    return parse.facts(sources(spark, sf), only, prints)
+
+
+def _over(facts: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What is made of facts by several readings of them: files are parsed once, facts kept until the result is there."""
+    kept = store.set_aside(facts, "facts")
+    out = store.set_aside(made(kept), "made")
+    store.drop(kept)
+    return out
 
 
 @query(f"WITH {EDGES} SELECT concat('shop.p', caller, '.f', caller) AS caller, concat('shop.p', callee, '.f', callee) AS callee, 'imported' AS resolution FROM edge")
 def p_call_edges(spark, sf):
     """J2, J3, K6: parsing, bindings and resolution of calls."""
-    return edges.call_edges(_facts(spark, sf)).select("caller", "callee", "resolution")
+    facts = _facts(spark, sf, "span:module", "span:class", "span:function", "span:method", "binding", "call")
+    return _over(facts, lambda f: edges.call_edges(f).select("caller", "callee", "resolution"))
 
 
 @query(f"WITH {EDGES} SELECT concat('shop.p', caller) AS importer, concat('shop.p', callee) AS imported FROM edge")
 def p_import_edges(spark, sf):
     """K1."""
-    return edges.import_edges(_facts(spark, sf)).select("importer", "imported")
+    return _over(_facts(spark, sf, "span:module", "binding"), lambda f: edges.import_edges(f).select("importer", "imported"))
 
 
 @query(f"WITH {EDGES}, n AS (SELECT caller, count(*) AS c FROM edge GROUP BY caller) SELECT p_partkey, 3 + coalesce(c, 0) AS n_spans, coalesce(c, 0) AS n_imports, CASE WHEN p_size = 1 THEN 1 ELSE 0 END AS n_routes FROM part LEFT JOIN n ON caller = p_partkey")
 def p_file_facts(spark, sf):
     """J1, J4: spans, imports and routes of each file."""
     count = lambda c: F.sum(F.expr(c).cast("long"))
-    rows = _facts(spark, sf).groupBy("module").agg(count("fact = 'span'").alias("n_spans"), count("fact = 'span' and kind = 'import'").alias("n_imports"), count("fact = 'route'").cast("int").alias("n_routes"))
+    rows = _facts(spark, sf, "span", "route").groupBy("module").agg(count("fact = 'span'").alias("n_spans"), count("fact = 'span' and kind = 'import'").alias("n_imports"), count("fact = 'route'").cast("int").alias("n_routes"))
     return rows.select(F.regexp_extract("module", "([0-9]+)$", 1).cast("long").alias("p_partkey"), "n_spans", "n_imports", "n_routes")
 
 
 @query("SELECT concat('api:GET /p/', p_partkey, '/{x}') AS logical_key, concat('shop.p', p_partkey, '.f', p_partkey) AS handler, 1 AS n_evidence FROM part WHERE p_size = 1")
 def p_routes(spark, sf):
     """K2: routes as artifacts with their handler as evidence."""
-    return extract.routes(_facts(spark, sf)).select("logical_key", F.get_json_object("payload", "$.handler").alias("handler"), F.size("evidence").alias("n_evidence"))
+    facts = _facts(spark, sf, "span:class", "span:function", "span:method", "prefix", "route", prints=True)
+    return _over(facts, lambda f: extract.routes(f).select("logical_key", F.get_json_object("payload", "$.handler").alias("handler"), F.size("evidence").alias("n_evidence")))
 
 
 @query("SELECT concat('entity:shop.p', p_partkey, '.Row', p_partkey) AS logical_key, 'pydantic' AS framework, 'size' AS field, 'false' AS required FROM part")
 def p_entities(spark, sf):
     """K3."""
     get = lambda p: F.get_json_object("payload", p)
-    return extract.entities(_facts(spark, sf)).select("logical_key", get("$.framework").alias("framework"), get("$.fields[0].name").alias("field"), get("$.fields[0].required").alias("required"))
+    facts = _facts(spark, sf, "span:class", "class", prints=True)
+    return _over(facts, lambda f: extract.entities(f).select("logical_key", get("$.framework").alias("framework"), get("$.fields[0].name").alias("field"), get("$.fields[0].required").alias("required")))
 
 
 @query()
