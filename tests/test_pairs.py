@@ -3,6 +3,7 @@
 from collections import Counter
 
 from spanloom.operators import pairs
+from spanloom.plans import catalog
 
 
 def test_within_by_loops(spark):
@@ -29,3 +30,10 @@ def test_a_key_is_spread_over_tasks(spark):
     df = spark.range(400).selectExpr("id", "'f' AS file", "1L AS a", "2L AS b")
     made = pairs.within(df, 0, block=20).rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()
     assert sum(made) == 400 * 399 and sum(n > 0 for n in made) > 5
+
+
+def test_related_entities_are_those_of_any_line(spark):
+    sf = "/root/testdata/sf0.001"
+    last = {r.p_partkey: r.p_name.rpartition(" ")[2] for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    got = Counter(tuple(r) for r in catalog.queries()["q_related_entities"](spark, sf).select("span_id", "target").collect())
+    assert got == Counter((a, b) for a in last for b in last if a != b and last[a] == last[b]) and got
