@@ -9,30 +9,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block: what is broadcast and held against each batch at once.
+#: Queries of a block: what is broadcast.
 BLOCK = 2048
+#: Queries and rows that are held against each other at once: what a worker holds does not grow with either.
+TILE = 512
+#: Distances are compared at this many decimals.
+PLACES = 9
 
 
 def _unit(vectors: pa.Array) -> np.ndarray:
-    flat = np.stack([np.asarray(v, np.float64) for v in vectors.to_pylist()]) if len(vectors) else np.zeros((0, 1))
+    if not len(vectors):
+        return np.zeros((0, 1))
+    if vectors.null_count == 0 and vectors.flatten().null_count == 0 and len(set(np.diff(vectors.offsets))) == 1:
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
+    else:
+        flat = np.stack([np.asarray(v, np.float64) for v in vectors.to_pylist()])
     return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
 
 
 def _nearest(sent, k: int):
-    """(id, vector, group) to each batch's ``k`` nearest rows of each query."""
+    """(id, vector, group) to those rows of a task that can be among the ``k`` nearest of a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked, groups = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, group = batch.column(0).to_numpy(), np.array(batch.column(2).to_pylist(), object)
-            far = 1 - asked @ _unit(batch.column(1)).T
-            far[(ids[:, None] == own[None, :]) | (groups[:, None] != group[None, :])] = np.inf
-            # Ties at the last place all stay: which of them count is decided by id at the end.
-            last = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
-            q, r = np.nonzero((far <= last[:, None] + 1e-12) & np.isfinite(far))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[r]), pa.array(far[q, r])], names=["query_id", "vec_id", "dist"])
+        # The least distances so far of each query.
+        near = np.full((len(ids), k), np.inf)
+        for whole in batches:
+            for low in range(0, whole.num_rows, TILE):
+                batch = whole.slice(low, TILE)
+                own, group = batch.column(0).to_numpy(), np.array(batch.column(2).to_pylist(), object)
+                rows = _unit(batch.column(1)).T
+                for at in range(0, len(ids), TILE):
+                    part = slice(at, at + TILE)
+                    far = 1 - asked[part] @ rows
+                    far[(ids[part, None] == own[None, :]) | (groups[part, None] != group[None, :])] = np.inf
+                    near[part] = np.partition(np.concatenate([near[part], far], axis=1), k - 1, axis=1)[:, :k]
+                    # Ties at the last place all stay: which of them count is decided by id at the end.
+                    q, r = np.nonzero((far <= near[part].max(axis=1, keepdims=True) + 1.1 * 10.0**-PLACES) & np.isfinite(far))
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[part][q]), pa.array(own[r]), pa.array(far[q, r])], names=["query_id", "vec_id", "dist"])
 
     return run
 
@@ -57,5 +72,5 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) ->
         if not held:
             return spark.createDataFrame([], "query_id long, vec_id long, dist double, place int")
         out = searched()
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("dist", 9), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("dist", PLACES), "vec_id"))
     return out.withColumn("place", place).where(F.col("place") <= k)
